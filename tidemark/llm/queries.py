@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import lengths, mixing, packing, planes
+from .scratch import new_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,3 +65,23 @@ SELECT doc_id, size, source_size, target, times * size AS taken, times, source F
          r.whole + CASE WHEN r.extra <> coalesce(r.ord = t.turn, FALSE) THEN 1 ELSE 0 END AS times
   FROM rests r LEFT JOIN turns t ON r.source IS NOT DISTINCT FROM t.source)
 """
+
+
+@_query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of at most 4096 tokens."""
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "bucket", "partition_bins", "partition_bound")
+
+
+@_query
+def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of all documents for every length as a context limit."""
+    return lengths.limit_table(lengths.length_histogram(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as shards of byte planes and read back."""
+    folder = new_path(spark, "planes")
+    return planes.read_shards(spark, folder, planes.write_shards(_table(spark, sf_dir, "documents"), folder))
