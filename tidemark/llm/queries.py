@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lengths, mixing, packing, planes
-from .scratch import new_path
+from . import chat, lengths, mixing, packing, planes, quality
+from .scratch import new_path, stage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +86,72 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as shards of byte planes and read back."""
     folder = new_path(spark, "planes")
     return planes.read_shards(spark, folder, planes.write_shards(_table(spark, sf_dir, "documents"), folder))
+
+
+@_query
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, own failure and final verdict of all documents."""
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_host_quality"] = r"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT r, doc_id, source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM raw),
+positions AS (SELECT r, unnest(generate_series(1, len(w))) AS i, w FROM split),
+windows AS (SELECT r, i, len(w) AS n, CASE WHEN i + 4 <= len(w) THEN array_to_string(w[i:i + 4], ' ') END AS win FROM positions),
+counted AS (SELECT r, i, win IS NOT NULL AND count(*) OVER (PARTITION BY r, win) > 1 AS twice FROM windows),
+covered AS (SELECT r, max(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS inside FROM counted),
+repeats AS (SELECT r, sum(CAST(inside AS BIGINT)) AS n_repeat_words FROM covered GROUP BY r),
+measures AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN repeats USING (r)),
+failures AS (
+  SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, 10 * n_symbols > 3 * word_chars AS f3, 10 * n_dup_lines > 3 * n_words AS f4
+  FROM measures),
+long AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS f FROM failures),
+hosts AS (SELECT source, rule, sum(CAST(f AS DOUBLE)) AS k, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY source, rule),
+moments AS (
+  SELECT rule, sum(k) / sum(n) AS m, avg((k / n) * (k / n)) - avg(k / n) * avg(k / n) AS spread, avg(1.0::DOUBLE / n) AS noise FROM hosts GROUP BY rule),
+priors AS (
+  SELECT rule, m, CASE WHEN spread - m * (1 - m) * noise > 0
+    THEN least(greatest(m * (1 - m) / (spread - m * (1 - m) * noise) - 1, 1.0::DOUBLE), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS s
+  FROM moments),
+verdicts AS (SELECT source, bool_or((k + m * s) / (n + s) > 0.5) AS rejected FROM hosts JOIN priors USING (rule) GROUP BY source)
+SELECT doc_id, f.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT rejected AS kept
+FROM failures f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@_query
+def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes the template, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    quoting = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.summarize(stage(chat.expand(turns.unionByName(quoting)), "chat"))
+
+
+ORACLES["op10_prefix_targets"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+clean AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns),
+sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n,
+         14 + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ': ', '\: '))
+            + length(replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>')) AS chars
+  FROM clean),
+running AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM sized)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars,
+       CAST(count(*) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS n_examples
+FROM running GROUP BY conv_id
+"""
