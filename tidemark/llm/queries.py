@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lengths, mixing, packing, planes, quality
+from . import chat, jaccard, lengths, mixing, packing, planes, quality
 from .scratch import new_path, stage
 
 QUERIES: dict = {}
@@ -155,3 +155,9 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
        CAST(count(*) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS n_examples
 FROM running GROUP BY conv_id
 """
+
+
+@_query
+def op3_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of all documents, at 3-word shingles and 90 percent."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
