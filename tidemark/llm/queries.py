@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lengths, mixing, packing, planes, quality
+from . import chat, jaccard, lengths, mixing, packing, planes, quality, warc
 from .scratch import new_path, stage
 
 QUERIES: dict = {}
@@ -161,3 +161,25 @@ FROM running GROUP BY conv_id
 def op3_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of all documents, at 3-word shingles and 90 percent."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back through the data source."""
+    folder = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.page_captures(spark, folder)
+
+
+ORACLES["op6_warc_archives"] = """
+WITH hashed AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM hashed GROUP BY payload_digest),
+judged AS (
+  SELECT h.*, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS revisit, first
+  FROM hashed h JOIN firsts USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first END AS refers_to
+FROM judged
+"""
