@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lengths, mixing, packing, planes, quality, warc
+from . import chat, hnsw, jaccard, lengths, mixing, packing, planes, quality, warc
 from .scratch import new_path, stage
 
 QUERIES: dict = {}
@@ -183,3 +183,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit'
        CASE WHEN revisit THEN first END AS refers_to
 FROM judged
 """
+
+
+@_query
+def op9_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every fiftieth vector among all others."""
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
