@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, jaccard, lengths, mixing, packing, planes, quality, warc
+from . import chat, hnsw, jaccard, langid, lengths, mixing, packing, planes, quality, warc
 from .scratch import new_path, stage
 
 QUERIES: dict = {}
@@ -189,3 +189,9 @@ FROM judged
 def op9_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every fiftieth vector among all others."""
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
