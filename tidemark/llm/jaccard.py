@@ -4,15 +4,15 @@ A document's set holds its distinct shingles of ``ngram`` words, as 64-bit hashe
 100 * intersection >= percent * union.
 
 1. *Sets to classes.*  Documents of equal sets (128-bit digests) form a class, named by its smallest doc_id.
-2. *Order.*  Shingles are ordered by how frequent they are, then by hash; two sets that link share one of
-   their first n - ceil(n * percent / 100) + 1 shingles in any common order.  Frequent ones come from
-   mergeable Misra-Gries summaries of all documents, of a fixed size; all others count as equally rare.
-   The summary's bound moves work, never results: any order is right.
+2. *Order.*  Shingles are ordered from rare to frequent, then by hash; two sets that link share one of
+   their first n - ceil(n * percent / 100) + 1 shingles in any common order.  Counts are of all documents,
+   kept in a table of fixed size in which a rare shingle may share the slot of a frequent one.  That moves
+   work, never results: any order is right.
 3. *Groups.*  Classes with identical prefixes and sizes collapse into one group, and only groups are
    indexed by the shingles of their prefix.  Index cells with the same groups are one cell.
 4. *Filter.*  Groups of a cell expand to their classes.  Every class meets the cell's most common member
-   (a star, so a cell of m classes gives m pairs) under the size filter and the bitmap filter: a set's
-   1024 parity bits differ in at most as many places as the sets differ in shingles.
+   (a star, so a cell of m classes gives m pairs) under the size filter and the bitmap filter: parity bits
+   of two sets differ in at most as many places as the sets differ in shingles.
 5. *Verify* on the whole sets; links give components.  Only cells whose members are not all in one
    component go on: their members meet in blocks of a bounded number of rows, and pairs across components
    that pass the filters are verified.  So no link between components is lost, and no cell is ever
@@ -38,12 +38,13 @@ from .scratch import small_side, stage
 from .words import raw_texts
 
 NGRAM, PERCENT = 3, 90
-#: Entries of the table of frequent shingles (16 bytes each), which goes to all tasks.
-FREQUENT = 1 << 17
+#: Slots of the table of rarity, a byte each, that goes to all tasks: 2 to this power.
+TABLE_BITS = 24
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 1_000_000
 #: Rows of one side of a block.
 BLOCK = 256
+#: Parity bits of a set, at least.
 BITS = 1024
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -96,60 +97,73 @@ def most_apart(total, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
-def _condensed(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A Misra-Gries summary of at most ``limit`` entries."""
-    found, where = np.unique(tokens, return_inverse=True)
-    summed = np.bincount(where, weights=counts).astype(np.int64)
-    if len(found) > limit:
-        summed -= np.partition(summed, -limit - 1)[-limit - 1]
-        found, summed = found[summed > 0], summed[summed > 0]
-    return found, summed
+def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
+    """How often the most frequent shingle of each slot occurs in all documents, as 8 * log2 + 1; 0 if once.
 
+    A shingle's slot is the first TABLE_BITS bits of its hash.  Tasks sort the first bits of their shingles'
+    hashes and send them as compressed differences, one to two bytes each, to the task of their range,
+    which counts them and fills its part of the table.
+    """
+    expected = max(1, docs.count()) * 1000
+    parts = min(max((expected >> 21).bit_length(), 6), 20)
+    width = 32 if expected <= 1 << 30 else 48
+    kind = np.dtype("<u4" if width == 32 else "<u8")
 
-def frequent_shingles(docs: DataFrame, ngram: int, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of at most ``limit`` shingles, the most frequent of all documents."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        compress = zstandard.ZstdCompressor(level=1).compress
         waiting, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(waiting).astype(kind))
+            starts = np.arange(1 << parts, dtype=np.uint64) << np.uint64(width - parts)
+            cuts = np.append(np.searchsorted(values, starts.astype(kind)), len(values))
+            full = np.nonzero(np.diff(cuts))[0]
+            steps = np.diff(values, prepend=kind.type(0))
+            steps[cuts[full]] = values[cuts[full]] - starts[full].astype(kind)
+            planes = steps.view(np.uint8).reshape(-1, kind.itemsize)
+            blobs = [compress(planes[cuts[k] : cuts[k + 1]].T.tobytes()) for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "steps"])
+
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
-                waiting.append(shingles(raw, ngram))
+                waiting.append(shingles(raw, ngram) >> np.uint64(64 - width))
                 size += len(waiting[-1])
-                if size > 1 << 20:
-                    fresh = np.concatenate(waiting)
-                    tokens, counts = _condensed(np.concatenate((tokens, fresh)), np.concatenate((counts, np.ones(size, np.int64))), limit)
+                if size > 1 << 22:
+                    yield flush()
                     waiting, size = [], 0
-        if waiting:
-            tokens, counts = _condensed(np.concatenate((tokens, *waiting)), np.concatenate((counts, np.ones(size, np.int64))), limit)
-        more = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[more].view(np.int64)), pa.array(counts[more])], names=["token", "times"])
-
-    partial = docs.select("text").mapInArrow(summarize, "token long, times long")
-    counted = stage(partial.groupBy("token").agg(F.sum("times").alias("times")), "frequent")
-    # The least count that leaves no more than ``limit``, in steps of an eighth of a power of two.
-    step = F.floor(F.log2("times") * 8).cast("int")
-    kept, least = 0, None
-    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
-        kept += row["count"]
-        if kept > limit:
-            break
-        least = row["step"]
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    rows = counted.where(step >= least).toArrow().sort_by("token")
-    tokens = rows["token"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], rows["times"].to_numpy()[order]
-
-
-def signatures(docs: DataFrame, ngram: int, percent: int, limit: int = FREQUENT) -> DataFrame:
+        if size:
+            yield flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        expand, part = zstandard.ZstdDecompressor().decompress, table["part"][0].as_py()
+        values = []
+        for blob in table["steps"]:
+            planes = np.frombuffer(expand(blob.as_py()), np.uint8).reshape(kind.itemsize, -1)
+            values.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).reshape(-1), dtype=kind))
+        found, times = np.unique(np.concatenate(values), return_counts=True)
+        found, times = found[times > 1], times[times > 1]
+        slots = np.zeros(1 << (TABLE_BITS - parts), np.uint8)
+        np.maximum.at(slots, (found >> kind.type(width - TABLE_BITS)).astype(np.int64), np.minimum(255, 1 + 8 * np.log2(times)).astype(np.uint8))
+        return pa.table({"part": pa.array([part], pa.int64()), "slots": pa.array([slots.tobytes()], pa.binary())})
+
+    spelt = docs.select("text").mapInArrow(spell, "part long, steps binary")
+    filled = spelt.groupBy("part").applyInArrow(count, "part long, slots binary").toArrow()
+    table = np.zeros((1 << parts, 1 << (TABLE_BITS - parts)), np.uint8)
+    for part, slots in zip(filled["part"].to_pylist(), filled["slots"]):
+        table[part] = np.frombuffer(slots.as_buffer(), np.uint8)
+    return table.reshape(-1)
+
+
+def signatures(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Per row of (doc_id, text), staged: n, digest (c1, c2), prefix and its digest (g1, g2), common, bits."""
-    tokens, times = frequent_shingles(docs, ngram, limit)
-    table = docs.sparkSession.sparkContext.broadcast((tokens, times))
+    table = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, ngram))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = table.value
+        slots = table.value
         salts = np.array([0x1B873593, 0x85EBCA6B], np.uint64)
         for batch in batches:
             numbers, prefixes, bits = np.zeros((batch.num_rows, 6), np.int64), [], []
@@ -160,18 +174,12 @@ def signatures(docs: DataFrame, ngram: int, percent: int, limit: int = FREQUENT)
                     prefixes.append(found)
                     bits.append(b"")
                     continue
-                at = np.searchsorted(frequent, found)
-                known = frequent[np.minimum(at, len(frequent) - 1)] == found if len(frequent) else np.zeros(n, bool)
-                rare, length = found[~known], prefix_length(n, percent)
-                if len(rare) >= length:
-                    prefix = rare[:length]
-                else:
-                    often = found[known]
-                    prefix = np.concatenate((rare, often[np.argsort(counts[at[known]], kind="stable")]))[:length]
+                often = slots[found >> np.uint64(64 - TABLE_BITS)]
+                prefix = found[np.argsort(often, kind="stable")[: prefix_length(n, percent)]]
                 whole = [int(_mix(found ^ s).sum()) for s in salts] + [int(_mix(prefix ^ s).sum()) for s in salts]
-                numbers[k] = np.array([n, int(known.sum()), *whole], np.uint64).view(np.int64)
+                numbers[k] = np.array([n, int(often.sum(dtype=np.int64)), *whole], np.uint64).view(np.int64)
                 prefixes.append(prefix)
-                bits.append(np.packbits(np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes())
+                bits.append(parities(found))
             edges = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
@@ -182,6 +190,35 @@ def signatures(docs: DataFrame, ngram: int, percent: int, limit: int = FREQUENT)
     return stage(docs.mapInArrow(sign, schema), "signatures")
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Parity bits of a set: BITS, or for large sets the next power of two from their size."""
+    bits = max(BITS, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """Parity bits of ``size`` bytes; those of half the number are the exclusive or of both halves."""
+    out = np.frombuffer(bits, np.uint64)
+    while len(out) > size // 8:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def least_apart(bits: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Shingles in which sets p[i] and q[i] differ at least."""
+    sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+    shorter = np.minimum(sizes[p], sizes[q]) if len(p) else np.empty(0, np.int64)
+    out = np.zeros(len(p), np.int64)
+    for size in np.unique(shorter).tolist():
+        pairs = np.nonzero(shorter == size)[0]
+        rows, where = np.unique(np.concatenate((p[pairs], q[pairs])), return_inverse=True)
+        folded, half = np.stack([_folded(bits[r], size) for r in rows]), len(pairs)
+        for at in range(0, half, step := max(1, (8 << 20) // size)):
+            x, y = where[at : min(at + step, half)], where[half + at : half + min(at + step, half)]
+            out[pairs[at : at + step]] = np.bitwise_count(folded[x] ^ folded[y]).sum(axis=1)
+    return out
+
+
 def _cells(classes: DataFrame) -> DataFrame:
     """Staged (cell, doc_id, n, common, bits): classes that share a shingle of their prefixes."""
     shared = stage(classes.groupBy("g1", "g2", "n").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
@@ -200,24 +237,23 @@ def _cells(classes: DataFrame) -> DataFrame:
 
 def _stars(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each member and the most common member of its cell, as far as the filters let them."""
-    middle = cells.groupBy("cell").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("back"), "doc_id", "n", "bits")).alias("x"))
-    middle = middle.select("cell", F.col("x.doc_id").alias("a"), F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"))
-    pairs = cells.join(middle, "cell").where("doc_id != a").select("a", "a_n", "a_bits", F.col("doc_id").alias("b"), "n", "bits")
+    common_first = Window.partitionBy("cell").orderBy(F.col("common").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.first(F.struct("doc_id", "n", "bits")).over(common_first)
+    pairs = cells.withColumn("x", middle).where("doc_id != x.doc_id")
+    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"), F.col("doc_id").alias("b"), "n", "bits")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_n, n = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            apart = np.bitwise_count(_words(batch.column(2)) ^ _words(batch.column(5))).sum(axis=1)
-            good = (100 * np.minimum(a_n, n) >= percent * np.maximum(a_n, n)) & (apart <= most_apart(a_n + n, percent))
+            good = 100 * np.minimum(a_n, n) >= percent * np.maximum(a_n, n)
+            at = np.nonzero(good)[0]
+            apart = least_apart(batch.column(2).to_pylist() + batch.column(5).to_pylist(), at, batch.num_rows + at)
+            good[at] = apart <= most_apart(a_n[at] + n[at], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(good))
 
     return pairs.mapInArrow(passing, "a long, b long").distinct()
 
 
-def _words(bits: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), BITS // 64)
-
-
 def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of one cell and two components that pass the filters."""
     marked = cells.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
@@ -233,7 +269,7 @@ def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOC
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         ids, n, label = (table[c].to_numpy() for c in ("doc_id", "n", "label"))
-        bits, first = _words(table["bits"]), table["first"].to_numpy()
+        first = table["first"].to_numpy()
         one = table["i"][0].as_py() == table["j"][0].as_py()
         x, y = (np.arange(len(ids)),) * 2 if one else (np.nonzero(first)[0], np.nonzero(~first)[0])
         low, high = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
@@ -242,8 +278,7 @@ def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOC
             good &= x[:, None] < y
         p, q = np.nonzero(good)
         p, q = x[p], y[q]
-        apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1)
-        close = apart <= most_apart(n[p] + n[q], percent)
+        close = least_apart(table["bits"].to_pylist(), p, q) <= most_apart(n[p] + n[q], percent)
         a, b = ids[p[close]], ids[q[close]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -264,52 +299,47 @@ def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOC
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """Staged (doc_id, shingles as bytes) of the wanted documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(raw, ngram).tobytes() for raw in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
-
-    return stage(docs.join(small_side(wanted, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(run, "doc_id long, found binary"), "sets")
-
+def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The staged links among candidate pairs, from the whole sets of their documents.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The staged links among candidate pairs."""
-    joined = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
+    Texts of the documents in pairs are what is shuffled; they take less room than their sets.
+    """
+    pairs = stage(pairs, "pairs")
+    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = stage(docs.join(small_side(wanted, BROADCAST_ROWS), "doc_id", "left_semi"), "texts")
+    joined = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+            for x, y in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3))):
+                both = np.concatenate((shingles(x, ngram), shingles(y, ngram)))
                 both.sort()
                 inside = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inside >= percent * (len(both) - inside))
+                good.append(100 * inside >= percent * (len(both) - inside) and inside > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return stage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = signatures(docs, ngram, percent, frequent)
+    signed = signatures(docs, ngram, percent)
     members = signed.where("n > 0 and doc_id is not null")
-    whole = F.min(F.struct("doc_id", "n", "common", "g1", "g2", "prefix", "bits")).alias("x")
-    classes = stage(members.groupBy("c1", "c2").agg(whole, F.count(F.lit(1)).alias("copies")).select("c1", "c2", "copies", "x.*"), "classes")
-    cells = _cells(classes)
-    sets = _sets(docs, stage(cells.select("doc_id").distinct(), "wanted"), ngram)
-    links = _verified(_stars(cells, percent), sets, percent)
+    # Only sets that occur again need a look for their smallest doc_id; a row of any other is a class.
+    again = members.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    again = stage(again.drop("copies"), "copies")
+    classes = members.join(small_side(again, BROADCAST_ROWS), ["c1", "c2"], "left").where("least is null or doc_id = least")
+    cells = _cells(classes.select("doc_id", "n", "common", "g1", "g2", "prefix", "bits"))
+    links = _verified(_stars(cells, percent), docs, ngram, percent)
     labels = stage(components(links), "labels")
-    more = _verified(_blocks(cells, labels, percent, block), sets, percent)
+    more = _verified(_blocks(cells, labels, percent, block), docs, ngram, percent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
     named = classes.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id")).where("copies > 1 or component != doc_id")
-    named = stage(named.select("c1", "c2", "component"), "named")
+    named = named.withColumn("component", F.coalesce("component", "doc_id")).where("least is not null or component != doc_id")
+    named = stage(named.select("c1", "c2", "component").distinct(), "named")
     out = signed.select("doc_id", "n", "c1", "c2").join(small_side(named, BROADCAST_ROWS), ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
@@ -319,5 +349,10 @@ def deduplicated(docs: DataFrame, ngram: int = 5, percent: int = 80, text: str =
     """``docs`` with one row of each component, that of the smallest doc_id; rows without a doc_id stay."""
     found = near_duplicates(docs, ngram, percent, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     keep = small_side(stage(found, "keepers"), BROADCAST_ROWS)
-    named = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id) == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    named = docs.join(keep, F.col(doc_id) == F.col("_keep"), "left_semi")
+    # Texts are only shuffled for rows that repeat a doc_id.
+    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_again")).count().where("count > 1").select("_again")
+    repeated = small_side(stage(repeated, "repeated"), BROADCAST_ROWS)
+    again = F.col(doc_id) == F.col("_again")
+    once = named.join(repeated, again, "left_anti")
+    return once.unionByName(named.join(repeated, again, "left_semi").dropDuplicates([doc_id])).unionByName(docs.where(F.col(doc_id).isNull()))
