@@ -1,6 +1,36 @@
-"""All queries by name, with the SQL that states the same result where there is one."""
+"""All queries by name, with the SQL that states the same result where there is one.
+
+Declarative operators are statements over the logical inputs, planned by Catalyst.  Operators whose next
+state depends on the last cut come from ``tidemark.operators`` and have no statement.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import failover, segmenters
+from ..sources import readers, views
+from . import dialect, statements
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _declare(name: str, names: tuple[str, ...], body) -> None:
+    text = views.with_views(dialect.Spark, names, body(dialect.Spark))
+    tables = sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+
+    query.__name__ = name
+    QUERIES[name] = query
+    ORACLES[name] = views.with_views(dialect.Duck, names, body(dialect.Duck))
+
+
+for _name, (_views, _body) in statements.ALL.items():
+    _declare(_name, _views, _body)
+
+QUERIES |= segmenters.QUERIES | failover.QUERIES | readers.QUERIES

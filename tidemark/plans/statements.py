@@ -1,0 +1,671 @@
+"""Declarative operators: name -> (logical inputs, statement in a dialect).
+
+Ordering ties end with an id, windows are partitioned by stream or user, integers are summed before any
+division, and "now" is a constant, so that results are reproducible.
+"""
+
+from __future__ import annotations
+
+#: Settings of the operators (milliseconds unless named otherwise).
+IDLE = 21_600_000
+SEGMENT = 600_000
+GAP = 2 * SEGMENT
+NOW = 1_706_600_000_000
+RETENTION = 15 * 86_400_000
+CAP_BYTES = 20_000_000
+WINDOW = 5
+BATCH = 100
+QUEUE = 500
+STALE = 30_000
+FAST_RUN_SEC = 30
+CRASHES = 3
+
+ALL: dict = {}
+
+
+def _op(*views):
+    def add(function):
+        ALL[function.__name__] = (views, function)
+        return function
+
+    return add
+
+
+def _long(x: str) -> str:
+    return f"CAST({x} AS BIGINT)"
+
+
+def _kind(d, u: str = "url") -> str:
+    """Protocol kind of an address by its scheme; a bare path is a file."""
+    low = f"lower({u})"
+    return f"""CASE WHEN {u} = '' THEN 'unknown' WHEN {low} LIKE 'copy://%' THEN 'copy' WHEN {low} LIKE 'mixer://%' THEN 'mixer'
+      WHEN {low} LIKE 'publish:%' THEN 'publish' WHEN {low} LIKE 'udp://%' THEN 'udp' WHEN {low} LIKE 'rtmp://%' OR {low} LIKE 'rtmps://%' THEN 'rtmp'
+      WHEN {low} LIKE 'rtsp://%' OR {low} LIKE 'rtsps://%' THEN 'rtsp' WHEN {low} LIKE 'srt://%' THEN 'srt'
+      WHEN ({low} LIKE 'http://%' OR {low} LIKE 'https://%') AND {d.matches(low, '^[^?]*[.]m3u8?([?]|$)')} THEN 'hls'
+      WHEN {low} LIKE 'http://%' OR {low} LIKE 'https://%' THEN 'unknown' WHEN {low} LIKE 'file://%' OR {u} LIKE '/%' THEN 'file' ELSE 'unknown' END"""
+
+
+def _listens(d, u: str = "url") -> str:
+    return f"({d.matches(f'lower({u})', '^(rtmp|rtmps|srt)://(0[.]0[.]0[.]0|:)')} OR lower({u}) LIKE 'publish:%')"
+
+
+# Sources -------------------------------------------------------------------------------------------------
+
+
+@_op("source_urls")
+def url_kind(d):
+    return f"SELECT id, {_kind(d)} AS kind FROM source_urls"
+
+
+@_op("source_urls")
+def is_push_listen(d):
+    return f"SELECT id, {_listens(d)} AS listens FROM source_urls"
+
+
+@_op("source_urls")
+def classify_source(d):
+    return f"""SELECT id, CASE WHEN {_listens(d)} THEN 'push' WHEN kind = 'unknown' THEN 'error' ELSE kind END AS reader
+      FROM (SELECT id, url, {_kind(d)} AS kind FROM source_urls) k"""
+
+
+@_op("source_urls")
+def copy_mixer_grammar(d):
+    rest = "substr(url, instr(url, '://') + 3)"
+    return f"""SELECT id, kind, CASE WHEN kind = 'copy' THEN nullif({rest}, '') WHEN bare LIKE '%,%' THEN {d.item('bare', ',', 1)} END AS first_code,
+      CASE WHEN kind = 'mixer' AND bare LIKE '%,%' THEN {d.item('bare', ',', 2)} END AS second_code,
+      CASE WHEN kind = 'copy' AND {rest} = '' THEN 'missing code' WHEN kind = 'mixer' AND bare NOT LIKE '%,%' THEN 'needs two codes' ELSE 'ok' END AS reason,
+      url LIKE '%audio_failure=continue%' AS goes_on
+      FROM (SELECT id, url, {_kind(d)} AS kind, {d.item(rest, '?', 1)} AS bare FROM source_urls) k WHERE kind IN ('copy', 'mixer')"""
+
+
+@_op("segments")
+def dedup_by_sequence(d):
+    """Polls see overlapping windows; only sequence numbers above the highest seen are delivered."""
+    return f"""SELECT stream_code, idx, first_poll FROM (
+      SELECT stream_code, idx, min({d.div('idx', '3')} + k) AS first_poll FROM segments CROSS JOIN (SELECT {_long('0')} AS k UNION ALL SELECT {_long('1')}) p
+      GROUP BY stream_code, idx) s"""
+
+
+@_op("stream_inputs")
+def push_registry(d):
+    """The first to acquire a push key holds it."""
+    return "SELECT url AS push_key, id AS holder FROM (SELECT url, id, row_number() OVER (PARTITION BY url ORDER BY id) AS k FROM stream_inputs) r WHERE k = 1"
+
+
+@_op("source_urls")
+def vod_listing(d):
+    name = f"lower({d.item('url', '?', 1)})"
+    return f"""SELECT id, is_dir, {_long('row_number() OVER (PARTITION BY is_dir ORDER BY url, id)')} AS place FROM (
+      SELECT id, url, NOT {d.matches(name, '[.][a-z0-9]+$')} AS is_dir, {d.matches(name, '[.](ts|mp4|flv|mkv|mov)$')} AS video FROM source_urls) f WHERE is_dir OR video"""
+
+
+# Projections, filters ------------------------------------------------------------------------------------
+
+
+@_op("hits")
+def fingerprint(d):
+    return f"""SELECT event_id, substr({d.sha("stream_code || chr(0) || lower(trim(ip)) || chr(0) || trim(user_agent) || chr(0) || trim(token)")}, 1, 16) AS session_key FROM hits"""
+
+
+@_op("hits")
+def session_label(d):
+    return f"""SELECT DISTINCT stream_code, ip, user_agent, substr({d.sha("stream_code || chr(0) || lower(trim(ip)) || chr(0) || trim(user_agent) || chr(0) || trim(token)")}, 1, 8) AS label FROM hits"""
+
+
+@_op("hits")
+def client_ip(d):
+    """Head of X-Forwarded-For, then X-Real-IP, then the remote address without its port."""
+    return f"""SELECT event_id, CASE WHEN forwarded <> '' THEN trim({d.item('forwarded', ',', 1)}) WHEN real_ip <> '' THEN real_ip
+      WHEN remote LIKE '[%' THEN substr(remote, 2, instr(remote, ']') - 2) ELSE {d.item('remote', ':', 1)} END AS client
+      FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ip || ' , 10.9.9.9' ELSE '' END AS forwarded, CASE WHEN event_id % 3 = 1 THEN ip ELSE '' END AS real_ip,
+            CASE WHEN event_id % 2 = 0 THEN ip || ':80' ELSE '[::1]:80' END AS remote FROM hits) h"""
+
+
+@_op("hits")
+def session_user(d):
+    """Who a session is named by: its token, else its address."""
+    return """SELECT event_id, CASE WHEN tok <> '' THEN 'token' WHEN ip <> '' THEN 'ip' ELSE 'none' END AS named_by, CASE WHEN tok <> '' THEN tok ELSE ip END AS user_name
+      FROM (SELECT event_id, ip, CASE WHEN event_id % 4 = 0 THEN 'tok-' || user_agent ELSE '' END AS tok FROM hits) h"""
+
+
+@_op("source_urls")
+def proto_from_path(d):
+    ext = f"lower({d.item('url', '?', 1)})"
+    return f"""SELECT id, CASE WHEN {d.matches(ext, '[.](m3u8|ts)$')} THEN 'hls' WHEN {d.matches(ext, '[.](mpd|m4s|mp4)$')} THEN 'dash' ELSE '' END AS proto,
+      CASE WHEN {ext} LIKE '/%/%' THEN {d.item(ext, '/', 2)} ELSE '' END AS stream_code FROM source_urls"""
+
+
+@_op("hits")
+def credited_bytes(d):
+    return f"SELECT event_id, {_long('CASE WHEN http_status BETWEEN 200 AND 299 THEN bytes ELSE 0 END')} AS credited FROM hits"
+
+
+@_op("packets")
+def drop_empty(d):
+    return "SELECT event_id, stream_code, size FROM packets WHERE size > 0"
+
+
+@_op("packets")
+def codec_class(d):
+    return f"""SELECT stream_code, CASE WHEN codec IN ('h264', 'h265') THEN 'video' WHEN codec = 'aac' THEN 'audio' ELSE 'unknown' END AS class,
+      CASE codec WHEN 'h264' THEN 'H.264' WHEN 'h265' THEN 'H.265' ELSE 'AAC' END AS label, count(*) AS packets FROM packets GROUP BY stream_code, codec"""
+
+
+@_op("runs")
+def classify_error(d):
+    text = "CASE event_id % 7 WHEN 0 THEN 'x509: bad certificate' WHEN 1 THEN 'dial: no such host' WHEN 2 THEN 'unexpected status 404' WHEN 3 THEN 'unexpected status 503' WHEN 4 THEN 'tls: handshake failure' WHEN 5 THEN 'status 418' ELSE 'connection reset' END"
+    return f"""SELECT event_id, CASE WHEN {d.matches('t', 'x509|tls:|no such host')} OR {d.matches('t', 'status (401|403|404|410|429|500|502|503|504)')} THEN 'fatal' ELSE 'retry' END AS verdict
+      FROM (SELECT event_id, {text} AS t FROM runs) r"""
+
+
+@_op("domain_events")
+def with_metadata(d):
+    return f"""SELECT id, {d.json_long('payload', 'k')} AS k, 'eu' AS meta_region, 'meta.' || 'region' AS meta_key FROM domain_events"""
+
+
+@_op("renditions")
+def renditions_default(d):
+    """Slugs count from 1; an unset rate is 2500 kbps."""
+    return "SELECT stream_code, idx, slug, width, height, CASE WHEN kbps > 0 THEN kbps ELSE 2500 END AS kbps, CASE WHEN kbps > 0 THEN kbps * 1000 ELSE 2500000 END AS bandwidth FROM renditions"
+
+
+@_op("renditions")
+def output_tracks(d):
+    """Audio first, then one track a profile."""
+    return f"""SELECT stream_code, {_long('0')} AS place, 'aac' AS codec, {_long('0')} AS width FROM (SELECT DISTINCT stream_code FROM renditions) s
+      UNION ALL SELECT stream_code, {_long('row_number() OVER (PARTITION BY stream_code ORDER BY idx)')}, 'h264', width FROM renditions"""
+
+
+@_op("renditions")
+def codec_string(d):
+    return """SELECT stream_code, idx, CASE WHEN width * height >= 1920 * 1080 THEN 'avc1.640028' WHEN width * height >= 1280 * 720 THEN 'avc1.64001f' ELSE 'avc1.42e01e' END AS codecs FROM renditions"""
+
+
+@_op("renditions")
+def gop_frames(d):
+    """Frames of a group of pictures: its interval times the frame rate (25 if unset), one at least."""
+    return f"""SELECT stream_code, idx, {_long("greatest(floor((idx % 5) * 0.5 * CASE WHEN idx % 3 = 0 THEN 25 ELSE idx % 60 END + 0.5), 1)")} AS frames FROM renditions"""
+
+
+@_op("renditions")
+def frame_scale(d):
+    return f"SELECT stream_code, idx, CAST(width AS DOUBLE) / max(width) OVER (PARTITION BY stream_code) AS scale FROM renditions"
+
+
+@_op("renditions")
+def normalize_preset(d):
+    return """SELECT stream_code, idx, CASE idx % 4 WHEN 0 THEN 'p1' WHEN 1 THEN 'p4' WHEN 2 THEN 'p5' ELSE 'p7' END AS nvenc,
+      CASE idx % 4 WHEN 0 THEN 'ultrafast' WHEN 1 THEN 'fast' WHEN 2 THEN 'medium' ELSE 'veryslow' END AS x264 FROM renditions"""
+
+
+@_op("runs")
+def backoff(d):
+    """2 s doubled by each attempt, 30 s at most."""
+    return f"""SELECT stream_code, event_id, attempt, least(30.0, 2.0 * power(2.0, least(attempt - 1, 10))) AS wait_sec
+      FROM (SELECT stream_code, event_id, {_long('row_number() OVER (PARTITION BY stream_code ORDER BY ms, event_id)')} AS attempt FROM runs) r"""
+
+
+@_op("streams")
+def merge_defaults(d):
+    """A hook's own setting, else the global one, else the built-in one."""
+    return f"""SELECT code, coalesce(nullif(greatest(num % 3, 0), 0), nullif(greatest(num % 5 - 2, 0), 0), 100) AS batch_items,
+      least(coalesce(nullif(num % 4, 0), 3), 3) AS retries FROM streams"""
+
+
+@_op("streams")
+def valid_codes(d):
+    return f"SELECT title, {d.matches('title', '^[A-Za-z0-9_-]+$')} AND length(title) <= 12 AS valid FROM streams"
+
+
+# Joins ---------------------------------------------------------------------------------------------------
+
+
+@_op("streams", "hits")
+def stream_status(d):
+    """Configuration with what is running, left by code."""
+    return f"""SELECT s.code, s.disabled, coalesce(r.viewers, {_long('0')}) AS viewers, CASE WHEN s.disabled THEN 'stopped' WHEN r.code IS NULL THEN 'idle' WHEN r.errors > 0 THEN 'degraded' ELSE 'active' END AS status
+      FROM streams s LEFT JOIN (SELECT stream_code AS code, count(DISTINCT user_id) AS viewers, {_long("sum(CASE WHEN http_status >= 500 THEN 1 ELSE 0 END)")} AS errors FROM hits GROUP BY stream_code) r ON s.code = r.code"""
+
+
+@_op("streams", "hits")
+def streams_by_status(d):
+    return f"SELECT code, status FROM ({stream_status(d)}) x WHERE status = 'degraded'"
+
+
+@_op("domain_events", "hooks")
+def hook_dispatch(d):
+    """Each event goes to every enabled hook whose type list and stream filter let it pass; "only" wins."""
+    return f"""SELECT e.id, h.hook_id FROM domain_events e JOIN hooks h ON h.enabled AND ({d.size('h.event_types')} = 0 OR array_contains(h.event_types, e.type))
+      AND CASE WHEN {d.size('h.only_streams')} > 0 THEN array_contains(h.only_streams, e.stream_code) ELSE NOT array_contains(h.except_streams, e.stream_code) END"""
+
+
+@_op("domain_events", "hooks")
+def hook_match(d):
+    return f"SELECT hook_id, count(*) AS events FROM ({hook_dispatch(d)}) m GROUP BY hook_id"
+
+
+@_op("config_old", "config_new")
+def diff_inputs(d):
+    return "SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'updated' END AS change FROM config_old o FULL OUTER JOIN config_new n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL OR o.url <> n.url"
+
+
+@_op("config_old", "config_new")
+def diff_profiles(d):
+    """By position in the list; the number of profiles of a stream changing updates them all."""
+    place = "{0} AS (SELECT stream, url, row_number() OVER (PARTITION BY stream ORDER BY k) AS pos, count(*) OVER (PARTITION BY stream) AS n FROM {1})"
+    return f""", {place.format('po', 'config_old')}, {place.format('pn', 'config_new')}
+      SELECT coalesce(o.stream, n.stream) AS stream, {_long('coalesce(o.pos, n.pos)')} AS pos, CASE WHEN o.pos IS NULL THEN 'added' WHEN n.pos IS NULL THEN 'removed' ELSE 'updated' END AS change
+      FROM po o FULL OUTER JOIN pn n ON o.stream = n.stream AND o.pos = n.pos WHERE o.pos IS NULL OR n.pos IS NULL OR o.url <> n.url OR o.n <> n.n"""
+
+
+@_op("config_old", "config_new")
+def diff_stream(d):
+    return f"""SELECT coalesce(o.stream, n.stream) AS stream, o.n IS DISTINCT FROM n.n AS count_changed, o.urls IS DISTINCT FROM n.urls AS inputs_changed
+      FROM (SELECT stream, count(*) AS n, {d.agg('url', "','", 'k')} AS urls FROM config_old GROUP BY stream) o
+      FULL OUTER JOIN (SELECT stream, count(*) AS n, {d.agg('url', "','", 'k')} AS urls FROM config_new GROUP BY stream) n ON o.stream = n.stream"""
+
+
+@_op("config_old", "config_new")
+def reconcile(d):
+    return "SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'delete' WHEN o.k IS NULL THEN CASE WHEN n.k % 6 = 5 THEN 'store' ELSE 'start' END WHEN o.url = n.url THEN 'keep' ELSE 'update' END AS action FROM config_old o FULL OUTER JOIN config_new n ON o.k = n.k"
+
+
+@_op("config_old", "config_new")
+def update_plan(d):
+    """The first rule that matches decides how a stream is updated."""
+    return f"""SELECT stream, CASE WHEN stream % 6 = 5 THEN 'stop' WHEN count_changed THEN 'restart' WHEN inputs_changed THEN 'update inputs' ELSE 'none' END AS action FROM ({diff_stream(d)}) x"""
+
+
+@_op("streams", "stream_inputs")
+def service_diff(d):
+    return """SELECT s.code, CASE WHEN was AND NOT now THEN 'stop' WHEN now AND NOT was THEN 'start' WHEN was AND now AND changed THEN 'restart' ELSE 'none' END AS action
+      FROM (SELECT code, num % 2 = 0 AS was, num % 3 <> 0 AS now, num % 4 = 0 AS changed FROM streams) s"""
+
+
+@_op("source_urls", "streams")
+def validate_shape(d):
+    rest = "substr(url, 8)"
+    return f"""SELECT u.id, CASE WHEN s.code IS NULL THEN 'skipped' WHEN s.disabled THEN 'disabled upstream' ELSE 'ok' END AS verdict
+      FROM (SELECT id, CASE WHEN url LIKE 'copy://%' THEN {rest} ELSE 'stream_' || CAST(id % 40 AS VARCHAR(20)) END AS upstream FROM source_urls) u LEFT JOIN streams s ON s.code = u.upstream"""
+
+
+@_op("segments")
+def timeshift(d):
+    """Segments that overlap a window; one that starts exactly at its end is kept."""
+    start, end = NOW - 10 * 86_400_000, NOW - 9 * 86_400_000
+    return f"SELECT stream_code, idx, ms, duration_ms FROM segments WHERE ms + duration_ms > {start} AND ms <= {end}"
+
+
+@_op("renditions")
+def best_known(d):
+    return "SELECT r.stream_code, r.slug, coalesce(o.kbps, r.kbps) AS kbps FROM renditions r LEFT JOIN (SELECT stream_code, slug, kbps + 1 AS kbps FROM renditions WHERE idx % 4 = 0) o ON r.stream_code = o.stream_code AND r.slug = o.slug"
+
+
+@_op("hits")
+def geo(d):
+    """Address ranges to countries; none known gives an empty string."""
+    return f"""SELECT h.event_id, coalesce(g.country, '') AS country FROM hits h LEFT JOIN (SELECT {_long('0')} AS lo, {_long('49')} AS hi, 'AA' AS country UNION ALL SELECT {_long('50')}, {_long('99')}, 'BB') g ON h.user_id BETWEEN g.lo AND g.hi"""
+
+
+@_op("stream_inputs")
+def dup_inputs(d):
+    return "SELECT code, trim(url) AS url, count(*) AS times FROM stream_inputs GROUP BY code, trim(url) HAVING count(*) > 1"
+
+
+@_op("stream_inputs")
+def priority_position(d):
+    return f"SELECT code, id, priority FROM (SELECT code, id, priority, row_number() OVER (PARTITION BY code ORDER BY id DESC) - 1 AS pos FROM stream_inputs) p WHERE priority <> pos"
+
+
+@_op("config_old", "config_new")
+def added_removed(d):
+    return "SELECT k, 'added' AS change FROM config_new n WHERE NOT EXISTS (SELECT 1 FROM config_old o WHERE o.k = n.k) UNION ALL SELECT k, 'removed' FROM config_old o WHERE NOT EXISTS (SELECT 1 FROM config_new n WHERE n.k = o.k)"
+
+
+@_op("streams", "stream_inputs")
+def bootable(d):
+    return "SELECT s.code FROM streams s WHERE NOT s.disabled AND EXISTS (SELECT 1 FROM stream_inputs i WHERE i.code = s.code)"
+
+
+@_op("streams", "stream_inputs")
+def media_summary(d):
+    """Tracks of the active input of least priority, else of the first."""
+    return f"""SELECT code, id AS input_id, status FROM (SELECT code, id, status, row_number() OVER (PARTITION BY code ORDER BY CASE WHEN status = 'active' THEN 0 ELSE 1 END, priority) AS k FROM stream_inputs) i WHERE k = 1"""
+
+
+@_op("streams", "stream_inputs")
+def config_errors(d):
+    return f"""SELECT code, 'code' AS field, 'bad characters' AS problem FROM streams WHERE NOT {d.matches('title', '^[A-Za-z0-9_-]+$')}
+      UNION ALL SELECT s.code, 'inputs', 'none' FROM streams s WHERE NOT EXISTS (SELECT 1 FROM stream_inputs i WHERE i.code = s.code)
+      UNION ALL SELECT code, 'inputs', 'duplicate url' FROM ({dup_inputs(d)}) x"""
+
+
+# Aggregations --------------------------------------------------------------------------------------------
+
+
+def _sessions(d) -> str:
+    return f""", marked AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > {IDLE} THEN 1 ELSE 0 END AS fresh FROM hits),
+      numbered AS (SELECT *, {_long('sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id)')} AS session FROM marked),
+      sessions AS (SELECT user_id, session, count(*) AS hits, {_long('sum(bytes)')} AS bytes, min(ms) AS opened_ms, max(ms) AS updated_ms, min(CASE WHEN bytes > 0 THEN ms END) AS started_ms,
+        min_by(proto, ms) AS proto, min_by(stream_code, ms) AS stream_code, min_by(ip, ms) AS ip FROM numbered GROUP BY user_id, session),
+      closed AS (SELECT *, updated_ms < {NOW} - {IDLE} AS closed, {d.div('greatest(updated_ms - opened_ms, 0)', '1000')} AS duration_sec FROM sessions)"""
+
+
+@_op("hits")
+def sessionize(d):
+    """A silence longer than the idle time closes a session; one of exactly that length does not."""
+    return f"{_sessions(d)} SELECT event_id, user_id, session FROM numbered"
+
+
+@_op("hits")
+def session_rollup(d):
+    return f"{_sessions(d)} SELECT user_id, session, hits, bytes, opened_ms, updated_ms, started_ms, proto, stream_code, ip, duration_sec, closed FROM closed"
+
+
+@_op("hits")
+def session_stats(d):
+    return f"{_sessions(d)} SELECT count(*) AS opened, {_long('sum(CASE WHEN closed THEN 1 ELSE 0 END)')} AS idle_closed, {_long('sum(CASE WHEN closed THEN 0 ELSE 1 END)')} AS active FROM closed"
+
+
+@_op("hits")
+def sessions_by_reason(d):
+    return f"{_sessions(d)} SELECT stream_code, proto, CASE WHEN closed THEN 'idle' ELSE 'open' END AS reason, count(*) AS sessions FROM closed GROUP BY stream_code, proto, closed"
+
+
+@_op("hits")
+def sessions_filter(d):
+    return f"{_sessions(d)} SELECT user_id, session FROM closed WHERE stream_code = 'stream_3' AND proto = 'hls' AND closed"
+
+
+@_op("hits")
+def sessions_topn(d):
+    return f"{_sessions(d)} SELECT user_id, session, opened_ms FROM closed ORDER BY opened_ms, user_id, session LIMIT 50"
+
+
+@_op("packets")
+def ingest_counters(d):
+    return f"SELECT stream_code, count(*) AS packets, {_long('sum(size)')} AS bytes, {_long('sum(CASE WHEN discontinuity THEN 1 ELSE 0 END)')} AS errors FROM packets GROUP BY stream_code"
+
+
+@_op("packets")
+def bitrate_total(d):
+    """Rates of codecs over the time seen, in kbps, rounded half up after they are added."""
+    return f"""SELECT stream_code, {_long('floor(sum(bits) / greatest(max(span), 1) + 0.5)')} AS kbps FROM (
+      SELECT stream_code, codec, CAST(sum(size) * 8 AS DOUBLE) AS bits, CAST(max(ms) - min(ms) AS DOUBLE) AS span FROM packets GROUP BY stream_code, codec) c GROUP BY stream_code"""
+
+
+@_op("segments")
+def dvr_index(d):
+    return f"SELECT stream_code, count(*) AS segments, {_long('sum(size)')} AS bytes, max(ms) AS last_ms FROM segments GROUP BY stream_code"
+
+
+@_op("segments")
+def target_duration(d):
+    return f"SELECT stream_code, greatest(5, max({_long('floor(duration_ms / 1000.0)')} + 1)) AS hls_sec, max({_long('ceil(greatest(1.0, duration_ms / 1000.0))')}) AS dvr_sec FROM segments GROUP BY stream_code"
+
+
+@_op("renditions")
+def earliest_available(d):
+    return "SELECT stream_code, min(nullif(kbps, 0)) AS earliest FROM renditions GROUP BY stream_code"
+
+
+@_op("stream_inputs")
+def stream_rollup(d):
+    return "SELECT code, CASE WHEN bool_or(status = 'degraded') THEN 'degraded' WHEN bool_or(status = 'active') THEN 'active' ELSE 'idle' END AS status, count(*) AS inputs FROM stream_inputs GROUP BY code"
+
+
+@_op("samples")
+def bench_stats(d):
+    """Nearest ranks: the value at (n + 1) / 2 and at 0.95 n, cut to whole places, the first at least."""
+    v = f"{_long('floor(value * 1000)')}"
+    return f"""SELECT metric, count(*) AS n, CAST(sum({v}) AS DOUBLE) / count(*) AS average, {d.ith(v, d.div('count(*) + 1', '2'))} AS median, {d.ith(v, 'greatest(1, floor(count(*) * 0.95))')} AS p95, max({v}) AS highest
+      FROM samples GROUP BY metric"""
+
+
+@_op("samples")
+def counter_delta(d):
+    return f"SELECT metric, max_by(v, ms) - min_by(v, ms) AS delta, max(v) AS highest, count(*) AS n FROM (SELECT metric, ms, {_long('floor(value * 1000)')} AS v FROM samples) s GROUP BY metric"
+
+
+@_op("domain_events")
+def runtime_counts(d):
+    return f"SELECT stream_code, {_long(f'''sum(CASE WHEN {d.json_long('payload', 'k')} > 50 THEN 1 ELSE 0 END)''')} AS degraded, {_long(f'''sum({d.json_long('payload', 'k')})''')} AS switches FROM domain_events GROUP BY stream_code"
+
+
+@_op("samples")
+def phase_report(d):
+    return f"SELECT upper(substr(metric, 1, 1)) AS phase, count(*) AS runs, {d.agg('metric', chr(39) + ',' + chr(39), 'metric')} AS names FROM (SELECT metric, count(*) AS n FROM samples GROUP BY metric) m GROUP BY upper(substr(metric, 1, 1))"
+
+
+@_op("samples")
+def net_rate(d):
+    return f"""SELECT metric, event_id, CAST((total - before) * 8 AS DOUBLE) / 1000000.0 / greatest(CAST(ms - before_ms AS DOUBLE) / 1000.0, 0.001) AS mbps FROM (
+      SELECT *, lag(total) OVER (PARTITION BY metric ORDER BY ms, event_id) AS before, lag(ms) OVER (PARTITION BY metric ORDER BY ms, event_id) AS before_ms FROM (
+        SELECT metric, event_id, ms, {_long('sum(floor(value * 1000)) OVER (PARTITION BY metric ORDER BY ms, event_id)')} AS total FROM samples) t) u WHERE before IS NOT NULL"""
+
+
+@_op("hits")
+def cpu_delta(d):
+    """Successive samples of one process."""
+    return "SELECT user_id, event_id, bytes - before AS delta FROM (SELECT user_id, event_id, bytes, lag(bytes) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS before FROM hits) h WHERE before IS NOT NULL"
+
+
+@_op("packets")
+def stale_inputs(d):
+    return f"SELECT stream_code, input_priority, CASE WHEN {NOW} - max(ms) <= {STALE} * 1000 THEN 'active' ELSE 'degraded' END AS status FROM packets GROUP BY stream_code, input_priority"
+
+
+@_op("renditions")
+def worker_count(d):
+    return "SELECT stream_code, count(*) AS workers FROM renditions GROUP BY stream_code"
+
+
+# Windows and sequences -----------------------------------------------------------------------------------
+
+
+@_op("packets")
+def dvr_gaps(d):
+    """A gap runs from the timer's end, two segments after the last packet, to the next packet."""
+    return f"SELECT stream_code, before + {GAP} AS from_ms, ms AS to_ms, ms - before - {GAP} AS gap_ms FROM (SELECT stream_code, ms, lag(ms) OVER (PARTITION BY stream_code ORDER BY ms, event_id) AS before FROM packets) p WHERE ms - before > {GAP}"
+
+
+@_op("segments")
+def live_window(d):
+    return f"SELECT stream_code, idx, ms FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY idx DESC) AS back FROM segments) s WHERE back <= {WINDOW}"
+
+
+@_op("packets")
+def bitrate_windows(d):
+    """Rates of fixed three-second windows, in whole bits."""
+    w = d.div("ms", "3000")
+    return f"SELECT stream_code, codec, {w} AS slot, {d.div(_long('sum(size) * 8'), '3')} AS bps FROM packets GROUP BY stream_code, codec, {w}"
+
+
+@_op("runs")
+def recent_errors(d):
+    return f"SELECT stream_code, event_id, place FROM (SELECT stream_code, event_id, {_long('row_number() OVER (PARTITION BY stream_code ORDER BY ms DESC, event_id DESC)')} AS place FROM runs) r WHERE place <= 5"
+
+
+@_op("runs")
+def stderr_tail(d):
+    return f"""SELECT stream_code, {d.agg('message', "' | '", 'ms, event_id')} AS tail FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY ms DESC, event_id DESC) AS back FROM runs) r WHERE back <= 8 GROUP BY stream_code"""
+
+
+@_op("packets")
+def mark_discontinuity(d):
+    """The first packet after each reconnect; a silence longer than the gap is one."""
+    return f"SELECT stream_code, event_id FROM (SELECT *, lag(ms) OVER (PARTITION BY stream_code ORDER BY ms, event_id) AS before FROM packets) p WHERE before IS NULL OR ms - before > {GAP}"
+
+
+@_op("runs")
+def error_suppression(d):
+    """Repeats of one message are shown for the first three and for powers of two."""
+    return f""", a AS (SELECT *, CASE WHEN message = lag(message) OVER (PARTITION BY stream_code ORDER BY ms, event_id) THEN 0 ELSE 1 END AS fresh FROM runs),
+      b AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_code ORDER BY ms, event_id) AS island FROM a),
+      c AS (SELECT stream_code, event_id, {_long('row_number() OVER (PARTITION BY stream_code, island ORDER BY ms, event_id)')} AS attempt FROM b)
+      SELECT stream_code, event_id, attempt, attempt <= 3 OR (attempt & (attempt - 1)) = 0 AS visible FROM c"""
+
+
+@_op("runs")
+def crash_streak(d):
+    return f""", a AS (SELECT *, sum(CASE WHEN run_sec >= {FAST_RUN_SEC} THEN 1 ELSE 0 END) OVER (PARTITION BY stream_code ORDER BY ms, event_id) AS island FROM runs)
+      SELECT stream_code, event_id, streak, streak >= {CRASHES} AS unhealthy FROM (SELECT stream_code, event_id,
+        {_long(f'sum(CASE WHEN run_sec < {FAST_RUN_SEC} THEN 1 ELSE 0 END) OVER (PARTITION BY stream_code, island ORDER BY ms, event_id)')} AS streak FROM a) b"""
+
+
+@_op("runs")
+def health_edges(d):
+    """Only changes of the verdict are told."""
+    return f"SELECT stream_code, event_id, unhealthy FROM (SELECT *, lag(unhealthy) OVER (PARTITION BY stream_code ORDER BY event_id) AS before FROM ({_select_with(crash_streak(d))}) s) e WHERE unhealthy <> coalesce(before, FALSE)"
+
+
+def _select_with(text: str) -> str:
+    """A statement that goes on from earlier views, as a subquery of its own."""
+    return "WITH " + text.lstrip(" ,") if text.lstrip().startswith(",") else text
+
+
+@_op("segments")
+def dash_timeline(d):
+    """The time is told for the first entry of a stream only; entries without length are left out."""
+    return f"SELECT stream_code, idx, CASE WHEN k = 1 THEN t END AS t, dur FROM (SELECT stream_code, idx, ms * 90 AS t, duration_ms * 90 AS dur, row_number() OVER (PARTITION BY stream_code ORDER BY idx) AS k FROM segments WHERE duration_ms > 0) s"
+
+
+@_op("packets")
+def dts_regressions(d):
+    """A jump back of over a second begins a new source."""
+    t = "ms - (event_id % 50) * 60000"
+    return f""", a AS (SELECT stream_code, event_id, ms, {t} AS dts FROM packets), b AS (SELECT *, CASE WHEN dts - lag(dts) OVER (PARTITION BY stream_code ORDER BY ms, event_id) < -1000 THEN 1 ELSE 0 END AS jump FROM a)
+      SELECT stream_code, event_id, {_long('sum(jump) OVER (PARTITION BY stream_code ORDER BY ms, event_id)')} AS source_no FROM b"""
+
+
+@_op("packets")
+def sample_durations(d):
+    return f"SELECT stream_code, event_id, coalesce(nullif(lead(ms) OVER (PARTITION BY stream_code ORDER BY ms, event_id) - ms, 0), 40) * 90 AS dur FROM packets"
+
+
+@_op("segments")
+def decode_timeline(d):
+    return f"SELECT stream_code, idx, {_long('coalesce(sum(duration_ms) OVER (PARTITION BY stream_code ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} * 90 AS decode_time FROM segments"
+
+
+@_op("packets")
+def from_first_keyframe(d):
+    return "SELECT stream_code, event_id FROM (SELECT *, max(CASE WHEN key_frame THEN 1 ELSE 0 END) OVER (PARTITION BY stream_code ORDER BY ms, event_id) AS begun FROM packets) p WHERE begun = 1"
+
+
+@_op("segments")
+def pdt_tags(d):
+    return "SELECT stream_code, idx FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY idx) AS k FROM segments) s WHERE k = 1 OR discontinuity"
+
+
+@_op("runs")
+def push_states(d):
+    """Attempts since the last long run; the limit fails the push."""
+    return f"""SELECT stream_code, event_id, CASE WHEN streak = 0 THEN 'active' WHEN streak > 5 THEN 'failed' ELSE 'reconnecting' END AS state FROM ({_select_with(crash_streak(d))}) s"""
+
+
+# Top-k, retention ----------------------------------------------------------------------------------------
+
+
+@_op("renditions")
+def best_rendition(d):
+    return "SELECT stream_code, idx, slug FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY width * height * 1000 + kbps DESC, idx) AS k FROM renditions) r WHERE k = 1"
+
+
+@_op("renditions")
+def best_variant(d):
+    return "SELECT stream_code, idx FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY kbps DESC, idx DESC) AS k FROM renditions) r WHERE k = 1"
+
+
+@_op("stream_inputs")
+def select_best_input(d):
+    """A healthy override, else the healthy input of least priority."""
+    return "SELECT code, id FROM (SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY CASE WHEN priority = 2 THEN 0 ELSE 1 END, priority) AS k FROM stream_inputs WHERE status NOT IN ('degraded', 'stopped')) i WHERE k = 1"
+
+
+@_op("streams")
+def streams_by_code(d):
+    return f"SELECT code, {_long('row_number() OVER (ORDER BY code)')} AS place FROM streams"
+
+
+@_op("packets")
+def track_order(d):
+    return f"SELECT stream_code, codec, {_long('''row_number() OVER (PARTITION BY stream_code ORDER BY CASE codec WHEN 'h264' THEN 0 WHEN 'h265' THEN 1 ELSE 2 END)''')} AS place FROM (SELECT DISTINCT stream_code, codec FROM packets) t"
+
+
+def _retention(d) -> str:
+    """Oldest segments go while they are too old or all from them on hold too much; one always stays."""
+    return f""", sized AS (SELECT *, {_long('sum(size) OVER (PARTITION BY stream_code ORDER BY idx DESC)')} AS onward, max(idx) OVER (PARTITION BY stream_code) AS last_idx FROM segments),
+      firsts AS (SELECT *, coalesce(min(CASE WHEN ms >= {NOW} - {RETENTION} AND onward <= {CAP_BYTES} THEN idx END) OVER (PARTITION BY stream_code), last_idx) AS first_idx FROM sized),
+      kept AS (SELECT stream_code, idx, ms, size FROM firsts WHERE idx >= first_idx)"""
+
+
+@_op("segments")
+def dvr_retention(d):
+    return f"{_retention(d)} SELECT stream_code, idx, ms, size FROM kept"
+
+
+@_op("segments", "packets")
+def dvr_gap_prune(d):
+    return f"{_retention(d)}, gaps AS ({dvr_gaps(d)}) SELECT g.stream_code, g.from_ms, g.to_ms FROM gaps g JOIN (SELECT stream_code, min(ms) AS oldest FROM kept GROUP BY stream_code) k ON g.stream_code = k.stream_code WHERE g.to_ms > k.oldest"
+
+
+@_op("segments")
+def disk_trim(d):
+    return f"SELECT stream_code, idx FROM (SELECT *, row_number() OVER (PARTITION BY stream_code ORDER BY idx DESC) AS back FROM segments) s WHERE back > {2 * WINDOW}"
+
+
+# Sets, fan-out, sinks ------------------------------------------------------------------------------------
+
+
+@_op("packets")
+def mix_streams(d):
+    """Video of one stream and audio of another, which ends both."""
+    return """, audio AS (SELECT * FROM packets WHERE stream_code = 'stream_2' AND codec = 'aac')
+      SELECT event_id, 'video' AS part FROM packets WHERE stream_code = 'stream_1' AND codec <> 'aac' AND ms <= (SELECT max(ms) FROM audio) UNION ALL SELECT event_id, 'audio' FROM audio"""
+
+
+@_op("packets", "renditions")
+def fanout_audio(d):
+    return "SELECT p.event_id, r.slug FROM packets p CROSS JOIN (SELECT DISTINCT slug FROM renditions WHERE slug IN ('track_1', 'track_2', 'track_3')) r WHERE p.codec = 'aac'"
+
+
+@_op("renditions")
+def abr_copy(d):
+    return "SELECT idx, '$r$' || stream_code || '$' || slug AS from_id, '$r$copy-' || stream_code || '$' || slug AS to_id FROM renditions"
+
+
+@_op("segments")
+def hls_manifest(d):
+    """The live window as text; the media sequence counts from 0, names from 1."""
+    line = f"'#EXTINF:' || CAST({d.div('duration_ms', '1000')} AS VARCHAR(20)) || '.' || lpad(CAST(duration_ms % 1000 AS VARCHAR(20)), 3, '0') || ',' || {d.newline} || 'seg_' || lpad(CAST(idx AS VARCHAR(20)), 6, '0') || '.ts'"
+    return f"""SELECT stream_code, '#EXTM3U' || {d.newline} || '#EXT-X-TARGETDURATION:' || CAST(max({_long('floor(duration_ms / 1000.0)')} + 1) AS VARCHAR(20)) || {d.newline} || '#EXT-X-MEDIA-SEQUENCE:' || CAST(max(idx) - count(*) AS VARCHAR(20)) || {d.newline} || {d.agg('line', d.newline, 'idx')} AS manifest
+      FROM (SELECT *, CASE WHEN discontinuity THEN '#EXT-X-DISCONTINUITY' || {d.newline} ELSE '' END || {line} AS line, row_number() OVER (PARTITION BY stream_code ORDER BY idx DESC) AS back FROM segments) s WHERE back <= {WINDOW} GROUP BY stream_code"""
+
+
+@_op("renditions")
+def hls_master(d):
+    line = "'#EXT-X-STREAM-INF:BANDWIDTH=' || CAST(CASE WHEN kbps > 0 THEN kbps * 1000 ELSE 2500000 END AS VARCHAR(20)) || ',RESOLUTION=' || CAST(width AS VARCHAR(20)) || 'x' || CAST(height AS VARCHAR(20))"
+    return f"SELECT stream_code, '#EXTM3U' || {d.newline} || {d.agg(f'{line} || {d.newline} || slug', d.newline, 'slug')} AS manifest FROM renditions GROUP BY stream_code"
+
+
+@_op("segments")
+def dvr_playlist(d):
+    return f"""{_retention(d)} SELECT stream_code, count(*) AS entries, '#EXT-X-PLAYLIST-TYPE:EVENT' || {d.newline} || {d.agg("'seg_' || CAST(idx AS VARCHAR(20)) || '.ts'", d.newline, 'idx')} AS playlist FROM kept GROUP BY stream_code"""
+
+
+@_op("domain_events")
+def events_jsonl(d):
+    """One JSON line an event; chr() spells the braces, which both dialects' callers would read as names."""
+    return """SELECT id, chr(123) || '"id":' || CAST(id AS VARCHAR(20)) || ',"type":"' || type || '","stream_code":"' || stream_code || '","payload":' || payload || chr(125) AS line FROM domain_events"""
+
+
+@_op("domain_events", "hooks")
+def hook_queue(d):
+    """A full queue drops its oldest."""
+    return f"SELECT hook_id, id FROM (SELECT hook_id, id, row_number() OVER (PARTITION BY hook_id ORDER BY id DESC) AS back FROM ({hook_dispatch(d)}) m) q WHERE back <= {QUEUE}"
+
+
+@_op("domain_events", "hooks")
+def hook_batches(d):
+    return f"SELECT hook_id, batch, count(*) AS items, min(id) AS first_id FROM (SELECT hook_id, id, {d.div('row_number() OVER (PARTITION BY hook_id ORDER BY id) - 1', str(BATCH))} AS batch FROM ({hook_dispatch(d)}) m) q GROUP BY hook_id, batch"

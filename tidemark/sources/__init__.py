@@ -1 +1 @@
-"""Part of tidemark; see the README."""
+"""Logical inputs: the engine's own tables as views over the driver's tables."""
