@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, langid, mixing, packing, quality
-from tidemark.llm.scratch import stage
+from tidemark.llm.scratch import short_batches, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host is not rejected."""
+    short_batches(spark)
     return quality.kept_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents most of whose letters are of one language that the labels teach."""
+    short_batches(spark)
     return langid.identified_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 percent of its five-word shingles, link by link."""
+    short_batches(spark)
     return jaccard.deduplicated(docs, ngram=5, percent=80)
 
 
@@ -34,6 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the sequences of 4096 tokens."""
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 

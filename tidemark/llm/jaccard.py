@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import small_side, stage
+from .scratch import arrow_rows, small_side, stage
 from .words import raw_texts
 
 NGRAM, PERCENT = 3, 90
 #: Slots of the table of rarity, a byte each, that goes to all tasks: 2 to this power.
 TABLE_BITS = 24
 #: Rows of a side that may be broadcast once they have been counted.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 #: Rows of one side of a block.
 BLOCK = 256
 #: Parity bits of a set, at least.
@@ -60,7 +60,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """64-bit hashes of words; at most LIMIT are remembered."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -130,7 +130,7 @@ def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
             for raw in raw_texts(batch.column(0)):
                 waiting.append(shingles(raw, ngram) >> np.uint64(64 - width))
                 size += len(waiting[-1])
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield flush()
                     waiting, size = [], 0
         if size:
@@ -151,7 +151,8 @@ def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
         return pa.table({"part": pa.array([part], pa.int64()), "slots": pa.array([slots.tobytes()], pa.binary())})
 
     spelt = docs.select("text").mapInArrow(spell, "part long, steps binary")
-    filled = spelt.groupBy("part").applyInArrow(count, "part long, slots binary").toArrow()
+    with arrow_rows(docs.sparkSession, 1000):
+        filled = spelt.groupBy("part").applyInArrow(count, "part long, slots binary").toArrow()
     table = np.zeros((1 << parts, 1 << (TABLE_BITS - parts)), np.uint8)
     for part, slots in zip(filled["part"].to_pylist(), filled["slots"]):
         table[part] = np.frombuffer(slots.as_buffer(), np.uint8)
@@ -187,7 +188,8 @@ def signatures(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "common", "c1", "c2", "g1", "g2", "prefix", "bits"])
 
     schema = "doc_id long, n long, common long, c1 long, c2 long, g1 long, g2 long, prefix array<long>, bits binary"
-    return stage(docs.mapInArrow(sign, schema), "signatures")
+    with arrow_rows(docs.sparkSession, 1000):
+        return stage(docs.mapInArrow(sign, schema), "signatures")
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -319,7 +321,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> Da
                 good.append(100 * inside >= percent * (len(both) - inside) and inside > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    with arrow_rows(docs.sparkSession, 256):
+        return stage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, hnsw, jaccard, langid, lengths, mixing, packing, planes, quality, warc
-from .scratch import new_path, stage
+from .scratch import new_path, short_batches, stage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,7 +18,7 @@ def _query(function):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return short_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @_query

@@ -8,6 +8,7 @@ this machine stands in for it.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -37,6 +38,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is run inside; texts may be very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session, from now on with Arrow batches of at most ``rows`` rows.
+
+    Texts may be very long, and frames that are run by the caller can't be run under `arrow_rows`.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, rows)
+    return spark
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast if the staged ``df`` has at most ``max_rows`` rows; else leave it to a shuffle."""
     from pyspark.sql import functions as F

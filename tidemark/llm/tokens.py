@@ -38,7 +38,7 @@ class WordEncoder(dict):
     twice as many; others are encoded again, with the same ids.
     """
 
-    def __init__(self, path: str, memory_words: int = 250_000, memory_bytes: int = 64):
+    def __init__(self, path: str, memory_words: int = 180_000, memory_bytes: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
