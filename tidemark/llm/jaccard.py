@@ -228,12 +228,16 @@ def _cells(classes: DataFrame) -> DataFrame:
         "gid": F.coalesce("gid", "doc_id"), "members": F.coalesce("members", F.lit(1)),
     })
     index = grouped.where("doc_id = gid").select("gid", "members", F.explode("prefix").alias("token"))
-    busy = stage(index.groupBy("token").agg(F.sum("members").alias("m")).where("m > 1").select("token"), "busy")
-    rows = stage(index.join(small_side(busy, BROADCAST_ROWS), "token").select("token", "gid"), "index")
+    seen = index.groupBy("token").agg(F.sum("members").alias("m"), F.count(F.lit(1)).alias("k"), F.min("gid").alias("low"), F.max("gid").alias("high"))
+    seen = stage(seen.where("m > 1"), "busy")
+    # The least and the greatest name both groups of a shingle of two; only those of more are looked up again.
+    pairs = seen.where("k <= 2").select(F.xxhash64("low", "high").alias("cell"), F.explode(F.array_distinct(F.array("low", "high"))).alias("gid"))
+    more = small_side(stage(seen.where("k > 2").select("token"), "busier"), BROADCAST_ROWS)
+    rows = stage(index.join(more, "token").select("token", "gid"), "index")
     hashed = rows.groupBy("token").agg(
         F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("gid")), F.bit_xor(F.xxhash64("gid", F.lit("again")))).alias("cell")
     )
-    cells = stage(rows.join(hashed, "token").select("cell", "gid").distinct(), "cells")
+    cells = stage(rows.join(hashed, "token").select("cell", "gid").union(pairs).distinct(), "cells")
     return stage(cells.join(grouped.select("gid", "doc_id", "n", "common", "bits"), "gid").drop("gid"), "members")
 
 

@@ -80,14 +80,15 @@ def has_letter(raw: bytes, words: list[bytes]) -> bool:
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of 2 to 4 bytes of all words, and where each word's begin."""
-    joined = np.frombuffer(b"".join(b"\x01%b\x02\x00\x00" % w for w in words), np.uint8).astype(np.uint32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 4
+    joined = np.frombuffer(b"".join(b"\x01%b\x02\x00\x00\x00" % w for w in words), np.uint8).astype(np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 5
     ends = np.cumsum(lengths)
     code, found = joined.copy(), []
     for k in range(1, 4):
         code = code[:-1] | (joined[k:] << np.uint32(8 * k))
-        # An n-gram that reaches the blanks between words is hashed to the last feature, which is not used.
-        inside = joined[k:] != 0
+        # An n-gram that begins or ends in the blanks between words, which are too wide to be bridged, is
+        # hashed to the last feature, which is not used: a word's score is its own.
+        inside = (joined[k:] != 0) & (joined[:-k] != 0)
         hashed = ((code * np.uint32(0x9E3779B1) + np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(17)) % np.uint32(FEATURES - 1)
         found.append(np.concatenate((np.where(inside, hashed, FEATURES - 1), np.full(k, FEATURES - 1))))
     return np.stack(found, axis=1), ends - lengths
