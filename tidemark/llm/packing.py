@@ -3,9 +3,10 @@
 Documents are encoded, closed with an end id and, only where longer than a sequence, cut into pieces of
 full length.  Pieces are dealt over partitions of a bounded number of rows, and each is packed by
 best-fit decreasing.  Dual feasible functions give a lower bound on the bins of each partition.  A
-partition that meets its bound is certified and done.  One with a gap keeps its fuller bins and gives
-up the pieces of its emptiest ones; these are dealt anew over fewer partitions, so that partitions
-exchange pieces, and packed again, until nothing is loose, one partition is left or the rounds are over.
+partition that meets its bound is certified and gives up only its emptiest bin, which may be the part of
+a bin that the bounds of all partitions round up.  One with a gap keeps its fuller bins and gives up the
+pieces of eight bins more for each that it is over.  These are dealt anew over fewer partitions, so that
+partitions exchange pieces, and packed again, until one partition is left or the rounds are over.
 Every piece is placed in any case; the rounds only lower the number of sequences.
 
 Defined cases: a null or empty text is a document of its end id alone; a null doc_id stays null; rows
@@ -121,9 +122,9 @@ def _packer(capacity: int, number: int, exchange: bool) -> Callable[[pa.Table],
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used, bound = int(bins.max()) + 1, bin_bound(lengths, capacity)
         loose = np.zeros(len(lengths), bool)
-        if exchange and used > bound:
+        if exchange:
             fill = np.bincount(bins, weights=lengths, minlength=used)
-            emptiest = np.argsort(fill, kind="stable")[: 8 * (used - bound)]
+            emptiest = np.argsort(fill, kind="stable")[: 1 + 8 * (used - bound)]
             loose = np.isin(bins, emptiest)
         bucket = table["bucket"].to_numpy()
         columns = {
