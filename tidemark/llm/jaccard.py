@@ -14,7 +14,7 @@ A document's set holds its distinct shingles of ``ngram`` words, as 64-bit hashe
    (a star, so a cell of m classes gives m pairs) under the size filter and the bitmap filter: parity bits
    of two sets differ in at most as many places as the sets differ in shingles.
 5. *Verify* on the whole sets; links give components.  Only cells whose members are not all in one
-   component go on: their members meet in blocks of a bounded number of rows, and pairs across components
+   component go on: their members are dealt by hash over blocks of about BLOCK rows, and pairs across components
    that pass the filters are verified.  So no link between components is lost, and no cell is ever
    spelt out as all its pairs.
 
@@ -42,7 +42,7 @@ NGRAM, PERCENT = 3, 90
 TABLE_BITS = 24
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 400_000
-#: Rows of one side of a block.
+#: Rows of one side of a block, on average; cells of more than four times as many are never held by one task.
 BLOCK = 256
 #: Parity bits of a set, at least.
 BITS = 1024
@@ -241,11 +241,23 @@ def _cells(classes: DataFrame) -> DataFrame:
     return stage(cells.join(grouped.select("gid", "doc_id", "n", "common", "bits"), "gid").drop("gid"), "members")
 
 
-def _stars(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each member and the most common member of its cell, as far as the filters let them."""
+def _stars(cells: DataFrame, percent: int, large: int) -> DataFrame:
+    """Pairs (a, b) of each member and the most common member of its cell, as far as the filters let them.
+
+    The middle of a cell of more than ``large`` members is found by partial aggregates and joined to them
+    where they lie; only smaller cells are ordered, each within a task.
+    """
+    sizes = stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select("cell"), "large-cells")
+    big = small_side(sizes, BROADCAST_ROWS)
     common_first = Window.partitionBy("cell").orderBy(F.col("common").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.first(F.struct("doc_id", "n", "bits")).over(common_first)
-    pairs = cells.withColumn("x", middle).where("doc_id != x.doc_id")
+    ordered = cells.join(big, "cell", "left_anti").withColumn("x", middle)
+    # The inverse of a doc_id falls as the doc_id rises, without an overflow.
+    top = F.max(F.struct("common", F.bitwise_not("doc_id").alias("inverse"), "n", "bits")).alias("top")
+    inside = cells.join(big, "cell")
+    middles = inside.groupBy("cell").agg(top).select("cell", F.struct(F.bitwise_not("top.inverse").alias("doc_id"), "top.n", "top.bits").alias("x"))
+    joined = inside.join(small_side(stage(middles, "middles"), BLOCK * 16), "cell")
+    pairs = ordered.select("x", "doc_id", "n", "bits").unionByName(joined.select("x", "doc_id", "n", "bits")).where("doc_id != x.doc_id")
     pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"), F.col("doc_id").alias("b"), "n", "bits")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +278,9 @@ def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOC
     marked = stage(marked.select("cell", "doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("label")), "labelled")
     mixed = marked.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = stage(mixed.where("size > 2 and low < high").select("cell", "size"), "mixed-cells")
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("n", "doc_id")) - 1
-    rows = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").withColumn("chunk", F.floor(place / block))
-    others = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))
+    chunks = F.ceil(F.col("size") / block)
+    rows = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks))
+    others = F.sequence(F.lit(0).cast("long"), chunks - 1)
     dealt = rows.withColumn("other", F.explode(others)).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     dealt = dealt.select("cell", "i", "j", (F.col("chunk") == F.col("i")).alias("first"), "doc_id", "n", "label", "bits")
     dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
@@ -339,7 +351,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     again = stage(again.drop("copies"), "copies")
     classes = members.join(small_side(again, BROADCAST_ROWS), ["c1", "c2"], "left").where("least is null or doc_id = least")
     cells = _cells(classes.select("doc_id", "n", "common", "g1", "g2", "prefix", "bits"))
-    links = _verified(_stars(cells, percent), docs, ngram, percent)
+    links = _verified(_stars(cells, percent, 4 * block), docs, ngram, percent)
     labels = stage(components(links), "labels")
     more = _verified(_blocks(cells, labels, percent, block), docs, ngram, percent)
     if not more.isEmpty():
