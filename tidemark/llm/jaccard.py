@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .remembered import remembered
 from .scratch import arrow_rows, small_side, stage
 from .words import raw_texts
 
@@ -72,15 +73,12 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def shingles(raw: bytes, ngram: int = NGRAM) -> np.ndarray:
     """The set of a text: sorted distinct uint64 hashes."""
     words = raw.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashed = np.fromiter(map(remembered("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     size = min(ngram, len(words))
     out = _mix(hashed[: len(words) - size + 1] + np.uint64(size))
     for k in range(1, size):

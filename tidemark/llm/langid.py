@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .remembered import forget
 from .words import raw_texts
 
 UNDETERMINED = "und"
@@ -38,7 +39,9 @@ SCRIPT_SHARE = 0.001
 #: The least score at which the pipeline keeps a document.
 LEAST_SCORE = 0.5
 #: Words whose scores a worker remembers.
-MEMORY = 200_000
+MEMORY = 100_000
+#: New words that are scored at a time.
+SCORED = 4_000
 
 #: First and last code points of scripts, in order of code points (public Unicode blocks).
 SCRIPTS = (
@@ -136,8 +139,8 @@ class _Scores(dict):
 
     def score(self) -> np.ndarray:
         parts = [self.rows[: len(self) - len(self._new)]]
-        for at in range(0, len(self._new), 20_000):
-            parts.append(self._model.scores(self._new[at : at + 20_000]))
+        for at in range(0, len(self._new), SCORED):
+            parts.append(self._model.scores(self._new[at : at + SCORED]))
         self._new = []
         self.rows = np.concatenate(parts)
         return self.rows
@@ -267,6 +270,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", spans: bool =
     at = [f.name for f in kept].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         learned = table.value
         memory = _Scores(learned)
         labels = np.array([*learned.languages, UNDETERMINED], object)

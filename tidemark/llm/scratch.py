@@ -50,15 +50,22 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """The session, from now on with Arrow batches of at most ``rows`` rows.
+#: The most rows and bytes of an Arrow batch, and rows that the Parquet reader decodes at a time.
+SHORT = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
+
+
+def short_batches(spark: SparkSession) -> SparkSession:
+    """The session, from now on with batches of at most the sizes of SHORT (a row is never divided).
 
     Texts may be very long, and frames that are run by the caller can't be run under `arrow_rows`.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= rows:
-        spark.conf.set(name, rows)
+    for name, most in SHORT.items():
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, most)
     return spark
 
 

@@ -15,6 +15,8 @@ import os
 import re
 from array import array
 
+from .remembered import remembered
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The file that the queries use, by name; see `vocabulary`.
@@ -77,11 +79,6 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a vocabulary file; workers are used for many tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return remembered(("encoder", path), lambda: WordEncoder(path))
