@@ -400,3 +400,25 @@ def test_pipeline(spark, docs):
             assert collections.Counter(r.doc_id for r in frame.collect()) == collections.Counter({r.doc_id: r.times for r in mixing.mix(source).collect() if r.times})
     assert before > 100
     check_packed(corpus_pipeline.STAGES[-1][1](spark, frame, DATA).collect(), [(r.doc_id, r.text) for r in frame.collect()])
+
+
+def test_a_worker_remembers_for_one_operator():
+    from tidemark.llm.remembered import forget, remembered
+
+    forget()
+    first = remembered("a", dict)
+    assert remembered("a", dict) is first
+    remembered("b", dict)
+    assert remembered("a", dict) is not first
+    forget()
+
+
+def test_short_batches_only_lower_limits(spark):
+    from tidemark.llm.scratch import SHORT, short_batches
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    short_batches(spark)
+    assert all(0 < int(spark.conf.get(n)) <= most for n, most in SHORT.items())
+    spark.conf.set(name, 64)
+    assert short_batches(spark).conf.get(name) == "64"
+    spark.conf.unset(name)
