@@ -370,6 +370,25 @@ def test_recall_and_ties(spark):
     assert hnsw.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clusters, rows", [(20, 100), (16, 128), (8, 256), (4, 500), (2, 2000)])
+@pytest.mark.parametrize("apart", [0.2, 0.001])
+def test_recall_on_clusters_of_near_copies(clusters, rows, apart):
+    rng = np.random.default_rng(clusters)
+    vectors = np.repeat(rng.normal(size=(clusters, 64)), rows, axis=0) + apart * rng.normal(size=(clusters * rows, 64))
+    asked = np.arange(0, len(vectors), 25)
+    unit = hnsw._unit(vectors)
+    found = hnsw.Graph.of(hnsw.Graph.build(vectors).flat()).search(unit, unit[asked])
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -9
+    hits = sum(len(set(f[f != a][:5].tolist()) & set(best.tolist())) for a, f, best in zip(asked, found, np.argsort(-near, axis=1)[:, :5]))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_every_node_is_reached_from_the_level_above():
+    links = np.array([[1, -1], [0, -1], [3, -1], [2, -1], [0, 2]])
+    assert np.nonzero(hnsw._entries(links, np.array([True, False, False, False, False])))[0].tolist() == [0, 2, 4]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text("a:# </turn>\\\n", max_size=12), st.text("#/ <turn>\\:A\n", max_size=30)), max_size=4))
 def test_chat_round_trip(turns):

@@ -4,12 +4,14 @@ Rows are dealt over shards of a bounded number of rows.  In a shard, equal vecto
 level is drawn from its hash, a sixteenth of each level going on to the next; on every level a node is
 linked to near nodes in different directions (a candidate nearer to an earlier pick than to the node is
 passed over while others are left), and links go both ways.  As a shard is bounded, candidates are the
-true nearest nodes of the level, found in blocks.  A graph is stored in one row as flat arrays: nodes of
-each level, and a fixed number of neighbour slots for each of them, -1 where free.
+true nearest nodes of the level, found in blocks.  Such links alone fall into islands where many rows are
+close together, so a level also gets the nodes that the level below needs: from them, links lead to every
+node there.  The first level of at most TOP nodes has no links.  A graph is stored in one row as flat
+arrays: nodes of each level, and a fixed number of neighbour slots for each of them, -1 where free.
 
-A search descends greedily through the levels and then keeps a beam on the lowest one; all queries of a
-block go in step.  The beam's best nodes are measured again in double precision on the original vectors.
-Every block of queries meets every shard, and the results of shards are merged by score and id.
+A search scores the whole top level and goes down from its best nodes, several at once, with a beam on
+each level; all queries of a block go in step.  The beam's best nodes are measured again on the original
+vectors.  Every block of queries meets every shard, and the results of shards are merged by score and id.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
 only vectors of one length are compared; rows equal in id and vector count once; rows that share an id
@@ -34,6 +36,8 @@ QUERY_BLOCK = 256
 LINKS, BASE_LINKS, CANDIDATES, BEAM = 16, 32, 48, 96
 #: Nodes of a beam that are measured again, beyond the neighbours that are asked for.
 SPARE = 9
+#: Most nodes of a level that is scored whole, and nodes from which the level below is entered.
+TOP, SEEDS = 512, 32
 
 
 def usable(vector: Column) -> Column:
@@ -83,13 +87,28 @@ def _both_ways(unit: np.ndarray, links: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
+def _entries(links: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """``above`` and what it lacks: nodes from which links lead to every node of a level."""
+    entries, reached, front = above.copy(), above.copy(), np.nonzero(above)[0]
+    while True:
+        while len(front):
+            near = links[front]
+            near = np.unique(near[near >= 0])
+            front = near[~reached[near]]
+            reached[front] = True
+        front = np.nonzero(~reached)[0][:1]
+        if not len(front):
+            return entries
+        entries[front] = reached[front] = True
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))  # near copies differ beyond single precision
 
 
 class Graph:
-    """A shard's graph; ``nodes[l]`` are the nodes of level l and ``links[l]`` their neighbours there, as nodes."""
+    """A shard's graph; ``nodes[l]`` are the nodes of level l and ``links[l]`` their neighbours there, as nodes (none on top)."""
 
     def __init__(self, nodes: list[np.ndarray], links: list[np.ndarray]):
         self.nodes, self.links = nodes, links
@@ -97,17 +116,16 @@ class Graph:
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
         unit = _unit(vectors)
-        noise = (np.ascontiguousarray(unit).view(np.uint32).astype(np.uint64) * (2 * np.arange(unit.shape[1], dtype=np.uint64) + 1)).sum(axis=1)
+        noise = (unit.astype(np.float32).view(np.uint32).astype(np.uint64) * (2 * np.arange(unit.shape[1], dtype=np.uint64) + 1)).sum(axis=1)
         noise = (noise ^ (noise >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         chance = ((noise >> np.uint64(11)).astype(np.float64) + 1) / 2**53
         levels = np.floor(-np.log(np.minimum(chance, 1)) / np.log(LINKS)).astype(np.int64)
-        nodes, links = [], []
-        for level in range(int(levels.max()) + 1):
-            inside = np.nonzero(levels >= level)[0]
-            slots = LINKS if level else BASE_LINKS
-            local = _both_ways(unit[inside], _links(unit[inside], LINKS), slots)
-            nodes.append(inside.astype(np.int32))
+        nodes, links = [np.arange(len(unit), dtype=np.int32)], []
+        while not links or len(nodes[-1]) > TOP:
+            level, inside = len(links), nodes[-1]
+            local = _both_ways(unit[inside], _links(unit[inside], LINKS), LINKS if level else BASE_LINKS)
             links.append(np.where(local >= 0, inside[local], -1).astype(np.int32))
+            nodes.append(inside[_entries(local, levels[inside] > level)])
         return cls(nodes, links)
 
     def flat(self) -> bytes:
@@ -122,7 +140,7 @@ class Graph:
         for n in counts:
             nodes.append(values[at : at + n])
             at += n
-        for level, n in enumerate(counts):
+        for level, n in enumerate(counts[:-1]):
             slots = LINKS if level else BASE_LINKS
             links.append(values[at : at + n * slots].reshape(n, slots))
             at += n * slots
@@ -130,25 +148,24 @@ class Graph:
 
     def search(self, unit: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """[queries, at most beam] nodes, best first, -1 where there are no more."""
-        q = np.arange(len(queries))
-        current = np.full(len(queries), self.nodes[-1][0])
-        score = queries @ unit[current[0]]
-        for level in range(len(self.nodes) - 1, 0, -1):
-            moving = q
-            while len(moving):
-                near = self.links[level][np.searchsorted(self.nodes[level], current[moving])]
-                scores = np.where(near >= 0, np.einsum("qd,qnd->qn", queries[moving], unit[near]), -np.inf)
-                best = scores.argmax(axis=1)
-                better = scores[np.arange(len(moving)), best] > score[moving]
-                moved = moving[better]
-                current[moved], score[moved] = near[better, best[better]], scores[better, best[better]]
-                moving = moved
-        beam = min(beam, len(unit))
-        found, scores = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, np.float32)
+        top = self.nodes[-1]
+        best = np.argsort(-(queries @ unit[top].T), axis=1, kind="stable")[:, : min(SEEDS, beam)]
+        found = top[best].astype(np.int64)
+        for level in range(len(self.links) - 1, -1, -1):
+            found = self._beam(level, unit, queries, found[:, : min(SEEDS, beam)], beam)
+        return found
+
+    def _beam(self, level: int, unit: np.ndarray, queries: np.ndarray, seeds: np.ndarray, beam: int) -> np.ndarray:
+        q, nodes = np.arange(len(queries)), self.nodes[level]
+        beam = min(beam, len(nodes))
+        found, scores = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, unit.dtype)
         done = np.ones((len(q), beam), bool)
         seen = np.zeros((len(q), len(unit)), bool)
-        found[:, 0], scores[:, 0], done[:, 0] = current, score, False
-        seen[q, current] = True
+        wide, real = seeds.shape[1], seeds >= 0
+        found[:, :wide], done[:, :wide] = seeds, ~real
+        scores[:, :wide] = np.where(real, np.einsum("qd,qnd->qn", queries, unit[seeds]), -np.inf)
+        a, place = np.nonzero(real)
+        seen[a, seeds[a, place]] = True
         active = q
         while len(active):
             open_scores = np.where(done[active], -np.inf, scores[active])
@@ -158,7 +175,7 @@ class Graph:
             if not len(active):
                 break
             done[active, pick] = True
-            near = self.links[0][found[active, pick]]
+            near = self.links[level][np.searchsorted(nodes, found[active, pick])]
             fresh = (near >= 0) & ~seen[active[:, None], near]
             seen[active[:, None], np.where(fresh, near, found[active, pick][:, None])] = True
             near_scores = np.where(fresh, np.einsum("qd,qnd->qn", queries[active], unit[near]), -np.inf)
