@@ -83,6 +83,18 @@ def test_retention_is_the_loop(spark):
         assert {i for c, i in kept if c == code} == {r.idx for r in rows}
 
 
+def test_audio_goes_to_every_rendition(spark):
+    from tidemark.plans import catalog
+
+    audio = {}
+    for r in segmenters.logical(spark, DATA, "packets").where("codec = 'aac'").collect():
+        audio.setdefault(r.stream_code, []).append(r.event_id)
+    renditions = segmenters.logical(spark, DATA, "renditions").collect()
+    rows = catalog.QUERIES["fanout_audio"](spark, DATA).collect()
+    want = [(e, r.stream_code, r.slug) for r in renditions for e in audio[f"stream_{int(r.stream_code[6:]) % 10}"]]
+    assert len(renditions) == 200 and sorted((r.event_id, r.stream_code, r.slug) for r in rows) == sorted(want)
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         functions.fingerprint(F.lit("s"), F.lit(" A "), F.lit("u"), F.lit("")).alias("a"), functions.fingerprint(F.lit("s"), F.lit("a"), F.lit("u "), F.lit(None)).alias("b"),

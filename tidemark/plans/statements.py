@@ -627,7 +627,9 @@ def mix_streams(d):
 
 @_op("packets", "renditions")
 def fanout_audio(d):
-    return "SELECT p.event_id, r.slug FROM packets p CROSS JOIN (SELECT DISTINCT slug FROM renditions WHERE slug IN ('track_1', 'track_2', 'track_3')) r WHERE p.codec = 'aac'"
+    """Audio to every rendition of the downstream streams that mix it; stream n ('Brand#n') takes the audio of stream_(n % 10)."""
+    source = f"'stream_' || CAST({_long('substr(stream_code, 7)')} % 10 AS VARCHAR(20))"
+    return f"SELECT p.event_id, r.stream_code, r.slug FROM packets p JOIN (SELECT stream_code, slug, {source} AS audio_code FROM renditions) r ON p.stream_code = r.audio_code WHERE p.codec = 'aac'"
 
 
 @_op("renditions")
