@@ -60,6 +60,27 @@ def test_failover_waits_for_the_cooldown(spark):
     assert numbers(failover.active_inputs(frame, timeout_ms=100, cooldown_ms=100), "active") == [0, 0, 1, 1, 0]
 
 
+def switches(spark, packets, commands=()):
+    kind = "stream_code string, event_id long, ms long, input_priority long"
+    frame = failover.switch_history(spark.createDataFrame(packets, kind), overrides=spark.createDataFrame(list(commands), kind), timeout_ms=100, cooldown_ms=100, until_ms=1000)
+    return [(r.ms, r.from_input, r.to_input, r.reason) for r in frame.orderBy(F.desc("place")).collect()]
+
+
+def test_failover_in_a_silence(spark):
+    rows = [("a", 1, 0, 0), ("a", 2, 50, 1), ("a", 3, 400, 1), ("a", 4, 420, 0)]
+    assert switches(spark, rows) == [
+        (0, -1, 0, "initial"), (101, 0, 1, "timeout"), (151, 1, -1, "exhausted"), (400, -1, 1, "recovery"), (500, 1, 0, "failback"), (521, 0, -1, "exhausted"),
+    ]
+
+
+def test_failover_obeys_healthy_overrides(spark):
+    rows = [("a", k, 10 * k, k % 2) for k in range(40)]
+    commands = [("a", 1, 105, 1), ("a", 2, 115, 7), ("b", 3, 5, 0)]
+    assert switches(spark, rows, commands) == [(0, -1, 0, "initial"), (105, 0, 1, "manual"), (491, 1, -1, "exhausted")]
+    back = switches(spark, rows, [*commands, ("a", 4, 300, None)])
+    assert back[2:] == [(300, 1, 0, "failback"), (481, 0, 1, "timeout"), (491, 1, -1, "exhausted")]
+
+
 def test_playlists(spark):
     text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXTINF:4.0,\nseg_8.ts\n#EXT-X-DISCONTINUITY\n#EXTINF:3.5,\nseg_9.ts\n"
     lines = readers.lines_of(spark.createDataFrame([("p", text)], "playlist string, text string"))

@@ -1,15 +1,24 @@
-"""Failover between the inputs of a stream, as a state machine over arrivals and ticks.
+"""Failover between the inputs of a stream, as a state machine over arrivals, commands and timers.
 
 An input is healthy while packets come; a silence longer than the timeout degrades it.  When the active
 input is degraded the healthy one of least priority takes over, a healthy override before all, and after a
-switch the next waits for the cooldown unless nothing is left to play.
+switch the next waits for the cooldown unless nothing is left to play.  Between two rows of a stream the
+machine stops at the moments when a timeout or a cooldown ends, so that a switch in a silence has its own
+time; with every input silent the stream is exhausted (-1) until a packet comes.  A command sets the
+override if its input is healthy, switches at once, and holds until that input is degraded; a command
+without an input takes the override back.  Nothing probes a degraded input: its next packet restores it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .segmenters import logical, scan_by_key
+from ..plans.statements import NOW
+from .segmenters import logical
 
 TIMEOUT_MS, COOLDOWN_MS = 3_600_000, 1_200_000
 
@@ -22,36 +31,124 @@ def best_input(last_seen: dict[int, int], now: int, override: int | None = None,
     return min(healthy, default=None)
 
 
-def active_inputs(packets: DataFrame, timeout_ms: int = TIMEOUT_MS, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
-    """The active input after each packet, -1 while there is none."""
+class Machine:
+    """The state of one stream; what it does gives (ms, from, to, reason) of each switch, -1 for no input."""
+
+    def __init__(self, timeout_ms: int, cooldown_ms: int):
+        self.timeout, self.cooldown = timeout_ms, cooldown_ms
+        self.seen: dict[int, int] = {}
+        self.active, self.override, self.switched, self.started = -1, None, -(1 << 60), False
+
+    def _switch(self, ms: int, to: int, reason: str) -> tuple:
+        out = (ms, self.active, to, reason)
+        self.active, self.started = to, True
+        if to >= 0:
+            self.switched = ms
+        return out
+
+    def _decide(self, ms: int) -> Iterator[tuple]:
+        best = best_input(self.seen, ms, self.override, self.timeout)
+        if best != self.override:
+            self.override = None
+        lost = self.active < 0 or ms - self.seen[self.active] > self.timeout
+        if best is None:
+            if self.active >= 0:
+                yield self._switch(ms, -1, "exhausted")
+        elif best != self.active and (lost or ms - self.switched >= self.cooldown):
+            yield self._switch(ms, best, ("recovery" if self.started else "initial") if self.active < 0 else "timeout" if lost else "failback")
+
+    def until(self, ms: int) -> Iterator[tuple]:
+        """Switches of timers that end before ``ms``."""
+        while self.active >= 0:
+            due = self.seen[self.active] + self.timeout + 1
+            ready = self.switched + self.cooldown
+            if ready < due and best_input(self.seen, ready, self.override, self.timeout) not in (None, self.active):
+                due = ready
+            if due >= ms:
+                return
+            yield from self._decide(due)
+
+    def packet(self, ms: int, priority: int) -> Iterator[tuple]:
+        self.seen[priority] = ms
+        yield from self._decide(ms)
+
+    def command(self, ms: int, priority: int | None) -> Iterator[tuple]:
+        yield from self._decide(ms)
+        if priority is None:
+            self.override = None
+            yield from self._decide(ms)
+        elif priority in self.seen and ms - self.seen[priority] <= self.timeout:
+            self.override = priority
+            if priority != self.active:
+                yield self._switch(ms, priority, "manual")
+
+
+def timeline(packets: DataFrame, overrides: DataFrame | None = None, timeout_ms: int = TIMEOUT_MS, cooldown_ms: int = COOLDOWN_MS, until_ms: int = NOW) -> DataFrame:
+    """Every packet, command and switch of each stream in order (``step``), with the active input after it.
+
+    ``kind`` is packet, command or switch; only switches have from_input and reason.  ``overrides`` has the
+    columns of packets, with a null input_priority to take an override back.  Timers run up to ``until_ms``,
+    or to the stream's last row if that is later.
+    """
+    names = ["stream_code", "event_id", "ms", "input_priority"]
+    rows = packets.select(*names, F.lit("packet").alias("kind"))
+    if overrides is not None:
+        rows = rows.unionByName(overrides.select(*names, F.lit("command").alias("kind")))
+    schema = pa.schema([("stream_code", pa.string()), ("step", pa.int64()), ("kind", pa.string()), ("event_id", pa.int64()), ("ms", pa.int64()), ("input_priority", pa.int64()), ("from_input", pa.int64()), ("active", pa.int64()), ("reason", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, machine, step, out = None, None, 0, []
+
+        def add(*row) -> None:
+            nonlocal step
+            step += 1
+            out.append((code, step, *row))
+
+        def switches(found: Iterator[tuple]) -> None:
+            for ms, before, to, reason in found:
+                add("switch", None, ms, None, before, to, reason)
+
+        def packed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for stream, event_id, ms, priority, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if machine is None or stream != code:
+                    if machine is not None:
+                        switches(machine.until(until_ms + 1))
+                    code, machine, step = stream, Machine(timeout_ms, cooldown_ms), 0
+                switches(machine.until(ms))
+                switches(machine.packet(ms, priority) if kind == "packet" else machine.command(ms, priority))
+                add(kind, event_id, ms, priority, None, machine.active, None)
+            if out:
+                yield packed()
+        if machine is not None:
+            switches(machine.until(until_ms + 1))
+        if out:
+            yield packed()
+
+    types = "stream_code string, step long, kind string, event_id long, ms long, input_priority long, from_input long, active long, reason string"
+    return rows.repartition("stream_code").sortWithinPartitions("stream_code", "ms", F.desc("kind"), "event_id").mapInArrow(run, types)
 
-    def step(state: dict, row: tuple) -> int:
-        _, _, ms, priority = row
-        state["seen"][priority] = ms
-        active = state["active"]
-        best = best_input(state["seen"], ms, None, timeout_ms)
-        lost = active is None or ms - state["seen"][active] > timeout_ms
-        if best is not None and best != active and (lost or ms - state["switched"] >= cooldown_ms):
-            state["active"], state["switched"] = best, ms
-        return -1 if state["active"] is None else state["active"]
 
-    rows = packets.select("stream_code", "event_id", "ms", "input_priority")
-    return scan_by_key(rows, "stream_code", ["ms", "event_id"], step, lambda: {"seen": {}, "active": None, "switched": -(1 << 60)}, "active long")
+def active_inputs(packets: DataFrame, timeout_ms: int = TIMEOUT_MS, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+    """The active input after each packet."""
+    return timeline(packets, None, timeout_ms, cooldown_ms).where("kind = 'packet'").select("stream_code", "event_id", "ms", "input_priority", "active")
 
 
-def switch_history(packets: DataFrame, keep: int = 20) -> DataFrame:
-    """Switches, newest first, at most ``keep`` of each stream; the first comes from input -1."""
+def switch_history(packets: DataFrame, keep: int = 20, overrides: DataFrame | None = None, **settings: int) -> DataFrame:
+    """Switches, newest first, at most ``keep`` of each stream; from or to input -1 where there is none."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
-    order = Window.partitionBy("stream_code").orderBy("ms", "event_id")
-    switches = active_inputs(packets).withColumn("from_input", F.coalesce(F.lag("active").over(order), F.lit(-1))).where("active != from_input")
-    back = F.row_number().over(Window.partitionBy("stream_code").orderBy(F.desc("ms"), F.desc("event_id")))
-    return switches.withColumn("place", back).where(F.col("place") <= keep).select("stream_code", "ms", "from_input", F.col("active").alias("to_input"), "place")
+    switches = timeline(packets, overrides, **settings).where("kind = 'switch'")
+    back = F.row_number().over(Window.partitionBy("stream_code").orderBy(F.desc("step")))
+    return switches.withColumn("place", back).where(F.col("place") <= keep).select("stream_code", "ms", "from_input", F.col("active").alias("to_input"), "place", "reason")
 
 
 def _failover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active_inputs(logical(spark, sf_dir, "packets"))
+    return timeline(logical(spark, sf_dir, "packets"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
