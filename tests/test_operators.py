@@ -116,6 +116,17 @@ def test_audio_goes_to_every_rendition(spark):
     assert len(renditions) == 200 and sorted((r.event_id, r.stream_code, r.slug) for r in rows) == sorted(want)
 
 
+def test_full_hook_queue_drops_its_oldest(spark):
+    from tidemark.plans import dialect, statements
+    from tidemark.sources import views
+
+    events = spark.range(12_000).selectExpr("id AS event_id", "1L AS user_id", "'click' AS event_type", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "'' AS props", "0.0 AS value")
+    views_, body = statements.ALL["hook_queue"]
+    for more, kept in (({}, 10_000), ({"cap": 7}, 7)):
+        rows = spark.sql(views.with_views(dialect.Spark, views_, body(dialect.Spark, **more)), events=events).where("hook_id = 'h1'").collect()
+        assert sorted(r.id for r in rows) == list(range(12_000 - kept, 12_000))
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         functions.fingerprint(F.lit("s"), F.lit(" A "), F.lit("u"), F.lit("")).alias("a"), functions.fingerprint(F.lit("s"), F.lit("a"), F.lit("u "), F.lit(None)).alias("b"),

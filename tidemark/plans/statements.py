@@ -15,7 +15,7 @@ RETENTION = 15 * 86_400_000
 CAP_BYTES = 20_000_000
 WINDOW = 5
 BATCH = 100
-QUEUE = 500
+QUEUE = 10_000
 STALE = 30_000
 FAST_RUN_SEC = 30
 CRASHES = 3
@@ -663,9 +663,9 @@ def events_jsonl(d):
 
 
 @_op("domain_events", "hooks")
-def hook_queue(d):
+def hook_queue(d, cap: int = QUEUE):
     """A full queue drops its oldest."""
-    return f"SELECT hook_id, id FROM (SELECT hook_id, id, row_number() OVER (PARTITION BY hook_id ORDER BY id DESC) AS back FROM ({hook_dispatch(d)}) m) q WHERE back <= {QUEUE}"
+    return f"SELECT hook_id, id FROM (SELECT hook_id, id, row_number() OVER (PARTITION BY hook_id ORDER BY id DESC) AS back FROM ({hook_dispatch(d)}) m) q WHERE back <= {cap}"
 
 
 @_op("domain_events", "hooks")
