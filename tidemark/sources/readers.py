@@ -1,4 +1,4 @@
-"""Playlist text as rows, and configuration documents."""
+"""Playlist text as rows."""
 
 from __future__ import annotations
 
