@@ -1,10 +1,15 @@
 """Every statement against DuckDB on the smallest tables."""
 
+import json
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import DATA
+from conftest import DATA, ROOT
 from tidemark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +47,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_rest_stands_without_the_training_data_folders(tmp_path):
+    """The package without ``llm``, with and without the pipeline and the leftovers of compiled modules."""
+    hidden = shutil.ignore_patterns(".git", "llm", "__pycache__")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=hidden)
+    asked = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    for step in ("pipeline left", "caches left", "pipeline gone"):
+        if step == "caches left":
+            (tmp_path / "repo/tidemark/llm/__pycache__").mkdir(parents=True)
+        if step == "pipeline gone":
+            (tmp_path / "repo/corpus_pipeline.py").unlink()
+        out = subprocess.run([sys.executable, "-c", asked], cwd=tmp_path / "repo", env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True, check=True)
+        assert json.loads(out.stdout) == [sorted(catalog.QUERIES), sorted(catalog.ORACLES)], step
