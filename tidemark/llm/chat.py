@@ -13,7 +13,7 @@ holds every turn.
 Rows are dealt by conversation, sorted by turn, and formatted in one pass that holds one transcript at a
 time.  The examples of a conversation of n assistant turns hold n prefixes; that is what the format asks.
 
-Defined cases: a null text or role is empty; a null turn comes first; rows of one turn are ordered by role
+Defined cases: conv_id holds whole numbers (other types are refused); a null text or role is empty; a null turn comes first; rows of one turn are ordered by role
 and text, and repeated rows are turns of their own; a null conv_id is a conversation of its own; an
 empty table gives no rows; other columns are not read.
 """
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import whole_numbers
+
 TURN, COLON, END = "### ", ": ", "</turn>"
 TARGET = "assistant"
 EXAMPLES = "conv_id long, example int, text string, loss_start long, loss_end long, final boolean"
@@ -122,6 +124,7 @@ def expand(turns: DataFrame) -> DataFrame:
     loss_start and loss_end bound the trainable characters of ``text`` (equal: none); ``final`` marks the
     example that holds the whole conversation.
     """
+    whole_numbers(turns, "conv_id")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_examples, EXAMPLES)

@@ -6,16 +6,17 @@ the id.  A word's score for a language is the sum of its n-grams' smoothed log p
 
 *Script ranges.*  The script of a word's first letter, from ranges of code points, narrows the
 languages: only those that were seen with that script in at least ``SCRIPT_SHARE`` of their words are
-candidates, and a word of a script that none was seen with says nothing.
+candidates, and a word of a script that none was seen with says nothing and counts for no language.
 
 *Viterbi.*  The labels of all words of a text are those of the best path, where each switch of language
 costs ``penalty``; runs of one label are the spans.  The text's language is the one with most letters'
 bytes under its label, and the score is its share of them.  Texts of a batch are decoded in step.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing
-could be learned; labels that are null teach nothing; a null doc_id is never held out and teaches nothing;
-repeated rows are separate documents; an empty table gives no rows; other columns are carried along by
-`identified_documents` and not read by `identify`.
+could be learned; a text of unseen scripts alone has score 0; labels that are null teach nothing, nor do
+those beyond the ``MAX_LANGUAGES`` most frequent; a null doc_id is never held out and teaches nothing;
+repeated rows are separate documents; an empty table gives no rows; other columns, whatever their names, are
+carried along by `identified_documents` and not read by `identify`.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import covered, uncovered
 from .remembered import forget
 from .words import raw_texts
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 1500
+#: Labels that the model learns, the most frequent ones first.
+MAX_LANGUAGES = 400
 FEATURES = 1 << 15
 PENALTY = 12.0
 SCRIPT_SHARE = 0.001
@@ -111,14 +115,19 @@ class Model:
         return cls(languages, np.ascontiguousarray(table), (share >= SCRIPT_SHARE).T)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        """[word, language]; -inf for languages that the script rules out, 0 for words that say nothing."""
+        """[word, language and weight]; -inf for languages that the script rules out, 0 for words that say nothing.
+
+        The weight is 1 for a word that has a candidate, 0.5 for one that has none, 0 for one without a letter.
+        """
         found, starts = features(words)
         out = np.add.reduceat(self.table[found].sum(axis=1), starts, axis=0)
         kinds = np.fromiter(map(script_of, words), np.int64, len(words))
         allowed = self.scripts[kinds]
         out = np.where(allowed, out, -1e9)
-        out[(kinds < 0) | ~allowed.any(axis=1)] = 0
-        return out.astype(np.float32)
+        known = allowed.any(axis=1)
+        out[(kinds < 0) | ~known] = 0
+        weight = np.where(kinds < 0, 0, np.where(known, 1, 0.5))
+        return np.column_stack((out, weight)).astype(np.float32)
 
 
 class _Scores(dict):
@@ -127,7 +136,7 @@ class _Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self._model, self._new = model, []
-        self.rows = np.empty((0, len(model.languages)), np.float32)
+        self.rows = np.empty((0, len(model.languages) + 1), np.float32)
 
     def __missing__(self, word: bytes) -> int:
         row = self[word] = len(self)
@@ -201,14 +210,16 @@ def _decode(raws: list[bytes], model: Model, memory: _Scores, spans: bool):
             at += 1
         lengths = np.array([len(held[i][0]) for i in slab])
         starts = np.cumsum(lengths) - lengths
-        labels = viterbi(rows[np.concatenate([held[i][0] for i in slab])], starts, lengths)
+        found = rows[np.concatenate([held[i][0] for i in slab])]
+        labels = viterbi(np.ascontiguousarray(found[:, :-1]), starts, lengths)
         text = np.repeat(np.arange(len(slab)), lengths)
-        letters = np.bincount(text * len(model.languages) + labels, weights=np.concatenate([held[i][1] for i in slab]), minlength=len(slab) * len(model.languages))
-        letters = letters.reshape(len(slab), -1)
+        sizes = np.concatenate([held[i][1] for i in slab])
+        letters = np.bincount(text * len(model.languages) + labels, weights=sizes * (found[:, -1] == 1), minlength=len(slab) * len(model.languages))
+        letters, every = letters.reshape(len(slab), -1), np.bincount(text, weights=sizes * (found[:, -1] > 0), minlength=len(slab))
         turn = np.concatenate(([True], labels[1:] != labels[:-1])) if len(labels) else np.empty(0, bool)
         turn[starts] = True
         own = np.array([places[i] for i in slab])
-        language[own], score[own] = letters.argmax(axis=1), letters.max(axis=1) / letters.sum(axis=1)
+        language[own], score[own] = letters.argmax(axis=1), letters.max(axis=1) / np.maximum(every, 1)
         runs[own] = np.bincount(text[turn], minlength=len(slab))
         if spans:
             begins = np.nonzero(turn)[0]
@@ -227,7 +238,8 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fit the model to labelled rows; at most about ``per_language`` documents of each language are read."""
     taught = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().collect()}
+    frequent = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(NAMES), 0), bool))
@@ -296,7 +308,6 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
 def identified_documents(docs: DataFrame, least: float = LEAST_SCORE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The documents that have a language with a score of at least ``least``, in their own columns."""
     model = learn(docs, text, lang, doc_id)
-    own = docs.columns
-    marked = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
-    found = identified(marked, model, f"_own_{text}").where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least))
-    return found.select(*[F.col(f"_own_{c}").alias(c) for c in own])
+    rows, own = covered(docs)
+    found = identified(rows, model, own[text]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least))
+    return uncovered(found, docs)

@@ -10,14 +10,15 @@ is left after all caps before it, shared by the weights from it on.  The table o
 *Sampling.*  A source with target / size = w + f gives each document w times, and once more to the
 documents that come first in a seeded order of all its documents until they hold f of its words.  Where
 that order crosses the mark is found in two steps, so that no source is ever sorted as a whole: words by
-(source, slice of the hash range) place the mark in one slice, and only that slice is ordered.  At last
-one document a source changes sides where that brings the source nearer to its target.
+(source, slice of the hash range) place the mark in one slice, and only that slice is ordered; slices are
+as many as keep one of them at about SLICE_ROWS rows.  At last one document a source changes sides where
+that brings the source nearer to its target.
 
 Defined cases: a null text has no words and is a document of size 0 (taken 0); a null source is a source
 of its own, ranked last; rows that share a doc_id (or, with a
 null doc_id, a text) are separate documents that are taken equally often; an empty table, or one without words,
-gives targets of 0; other columns are carried along untouched, except that columns named ``_mix_*`` are
-the operator's own and are replaced.
+gives targets of 0.  `mix` reads the three columns that are named and no others; `mixed_rows` carries all
+columns along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import covered, uncovered
 from .scratch import stage
 from .words import WORD
 
@@ -32,8 +34,8 @@ from .words import WORD
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Slices of the hash range: the first so many hexadecimal digits of a document's hash.
-SLICE_DIGITS = 3
+#: Documents of a slice of the hash range, about: slices are named by the first hexadecimal digits of a hash, 3 to 8.
+SLICE_ROWS = 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -72,18 +74,34 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size")
     return water_fill(sizes.withColumn("weight", ranked_weight(F.col("_mix_rank"))))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Return ``docs`` with ``size``, ``source_size``, ``target``, ``times`` (repetitions) and ``taken`` (words taken).
+def _order(text: Column, doc_id: Column, seed: str) -> Column:
+    identity = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), F.coalesce(text, F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), identity))
 
-    Texts are read twice: once for the sizes and once for the rows that are returned.
-    """
-    identity = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null "), F.coalesce(F.col(text), F.lit(""))))
-    keyed = (
-        docs.withColumn("size", word_count(F.col(text)))
-        .withColumn("_mix_source", F.col(source))
-        .withColumn("_mix_order", F.md5(F.concat(F.lit(seed + ":"), identity)))
-    )
-    slim = stage(keyed.select("_mix_source", "size", "_mix_order", F.substring("_mix_order", 1, SLICE_DIGITS).alias("_mix_slice")), "mix-sizes")
+
+def _sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: str) -> DataFrame:
+    """The one pass over the texts, staged: doc_id, source, size and place in the seeded order."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order(F.col(text), F.col(doc_id), seed).alias("_mix_order"))
+    return stage(rows, "mix-sizes")
+
+
+def slice_digits(rows: int) -> int:
+    return min(8, max(3, -(-max(rows // SLICE_ROWS, 1).bit_length() // 4)))
+
+
+def _extra() -> Column:
+    """Whether a document has one more turn than the whole ones, from its order and its source's marks."""
+    return F.coalesce(F.col("_mix_order") <= F.col("_mix_upto"), F.lit(False))
+
+
+def _times() -> Column:
+    extra = _extra() != F.coalesce(F.col("_mix_order") == F.col("_mix_turn"), F.lit(False))
+    return F.col("_mix_whole") + extra.cast("long")
+
+
+def _marks(sized: DataFrame, max_epochs: int) -> DataFrame:
+    """Staged, one row a source (``_mix_s``): its size, its target, and what `_times` needs of it."""
+    slim = sized.select(F.col("source").alias("_mix_source"), "size", "_mix_order").withColumn("_mix_slice", F.substring("_mix_order", 1, slice_digits(sized.count())))
     epochs = F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(float(max_epochs))), F.lit(0.0))
     targets = stage(source_targets(slim, "_mix_source"), "mix-targets")
     targets = targets.select(
@@ -109,25 +127,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     # What is still missing or too much is mended by one document a source: the one whose turn in or out of
     # the extra pass leaves the least.
-    extra = F.coalesce(F.col("_mix_order") <= F.col("_mix_upto"), F.lit(False))
-    drawn = slim.join(marks, same_source).withColumn("_mix_extra", extra)
+    drawn = slim.join(marks, same_source).withColumn("_mix_extra", _extra())
     off = drawn.groupBy("_mix_source").agg((F.first("target") - F.sum((F.col("_mix_whole") + F.col("_mix_extra").cast("long")) * F.col("size"))).alias("_mix_off"))
     off = stage(off.select(F.col("_mix_source").alias("_mix_s"), "_mix_off"), "mix-off")
     turned = F.when(F.col("_mix_extra"), -F.col("size")).otherwise(F.col("size"))
     rest = F.abs(F.col("_mix_off") - turned)
     turns = drawn.where("_mix_mark > 0").drop("_mix_s").join(off, same_source).where(rest < F.abs("_mix_off"))
     turns = turns.groupBy("_mix_source").agg(F.min(F.struct(rest.alias("rest"), "_mix_order"))["_mix_order"].alias("_mix_turn"))
-    marks = stage(marks.join(turns, same_source, "left").drop("_mix_source"), "mix-turns")
-
-    extra = extra != F.coalesce(F.col("_mix_order") == F.col("_mix_turn"), F.lit(False))
-    return (
-        keyed.join(marks, same_source)
-        .withColumn("times", F.col("_mix_whole") + extra.cast("long"))
-        .withColumn("taken", F.col("times") * F.col("size"))
-        .drop("_mix_order", "_mix_source", *[c for c in marks.columns if c.startswith("_mix_")])
-    )
+    return stage(marks.join(turns, same_source, "left").drop("_mix_source"), "mix-turns")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Per document: doc_id, source, ``size``, ``source_size``, ``target``, ``times`` (repetitions) and ``taken`` (words taken).
+
+    Texts are read once.
+    """
+    sized = _sized(docs, text, source, doc_id, seed)
+    drawn = sized.join(_marks(sized, max_epochs), F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("times", _times())
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, in the columns of ``docs``."""
-    return mix(docs, **how).where("times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    marks = _marks(_sized(docs, text, source, doc_id, seed), max_epochs)
+    rows, own = covered(docs)
+    rows = rows.withColumn("_mix_order", _order(F.col(own[text]), F.col(own[doc_id]), seed))
+    drawn = rows.join(marks, F.col(own[source]).eqNullSafe(F.col("_mix_s"))).withColumn("_mix_times", _times()).where("_mix_times > 0")
+    return uncovered(drawn.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))), docs)

@@ -9,9 +9,13 @@ pieces of eight bins more for each that it is over.  These are dealt anew over f
 partitions exchange pieces, and packed again, until one partition is left or the rounds are over.
 Every piece is placed in any case; the rounds only lower the number of sequences.
 
+Partitions hold row numbers and lengths alone; what else the pieces carry (ids, if asked for) is joined to
+their places afterwards.
+
 Defined cases: a null or empty text is a document of its end id alone; a null doc_id stays null; rows
-that share a doc_id or a text are separate documents; an empty table packs to no rows; columns other
-than the two that are named are not read.
+that share a doc_id or a text are separate documents; an empty table packs to no rows; `pack_documents` reads
+the two columns that are named and no others; `pack` carries other columns along, but replaces those that
+have the name of one that it adds.
 """
 
 from __future__ import annotations
@@ -115,9 +119,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
+_PLACED = "row_id long, length long, bucket long, sequence_id long, offset long, loose boolean, partition_bins long, partition_bound long"
+
+
 def _packer(capacity: int, number: int, exchange: bool) -> Callable[[pa.Table], pa.Table]:
     def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row_id")
+        table = table.select(["row_id", "length", "bucket"]).sort_by("row_id")
         lengths = table["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used, bound = int(bins.max()) + 1, bin_bound(lengths, capacity)
@@ -139,36 +146,31 @@ def _packer(capacity: int, number: int, exchange: bool) -> Callable[[pa.Table],
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Place pieces (``row_id``, ``length`` and columns that are carried along) into sequences.
+    """Place pieces (``row_id``, one for each, ``length`` and columns that are carried along) into sequences.
 
     Adds ``sequence_id``, ``offset``, ``round``, ``bucket`` and its certificate ``partition_bins`` and
     ``partition_bound``.  Pieces of full length are sequences of their own (round -1).
     """
-    if "loose" not in pieces.columns:
-        pieces = stage(pieces, "pack-pieces")
-    own = pieces.columns
-    schema = pieces.withColumn("bucket", F.lit(0).cast("long")).schema
-    for name, kind in (("sequence_id", T.LongType()), ("offset", T.LongType()), ("loose", T.BooleanType()), ("partition_bins", T.LongType()), ("partition_bound", T.LongType())):
-        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
-    full = pieces.where(F.col("length") >= capacity).withColumns({
-        "bucket": F.lit(0).cast("long"), "sequence_id": -1 - F.col("row_id"), "offset": F.lit(0).cast("long"), "loose": F.lit(False),
-        "partition_bins": F.lit(None).cast("long"), "partition_bound": F.lit(None).cast("long"), "round": F.lit(-1),
-    })
-    done, open_pieces = [full], pieces.where(F.col("length") < capacity)
+    added = ("bucket", "sequence_id", "offset", "partition_bins", "partition_bound", "round")
+    pieces = stage(pieces.drop(*added), "pack-pieces")
+    slim = pieces.select("row_id", F.col("length").cast("long").alias("length"))
+    none = F.lit(None).cast("long")
+    full = slim.where(F.col("length") >= capacity).select(
+        "row_id", F.lit(0).cast("long").alias("bucket"), (-1 - F.col("row_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        none.alias("partition_bins"), none.alias("partition_bound"), F.lit(-1).alias("round"),
+    )
+    out, open_pieces = full, slim.where(F.col("length") < capacity)
     left = open_pieces.count()
     for number in range(rounds):
         partitions = -(-left // partition_rows) or 1
         exchange = partitions > 1 and number + 1 < rounds
         dealt = open_pieces.withColumn("bucket", F.pmod(F.xxhash64("row_id", F.lit(number)), F.lit(partitions)))
-        packed = stage(dealt.groupBy("bucket").applyInArrow(_packer(capacity, number, exchange), schema), "pack-round")
-        done.append(packed.where("not loose").withColumn("round", F.lit(number)))
+        packed = stage(dealt.groupBy("bucket").applyInArrow(_packer(capacity, number, exchange), _PLACED), "pack-round")
+        out = out.unionByName(packed.where("not loose").select("row_id", *added[:-1]).withColumn("round", F.lit(number)))
         if not exchange or not (left := packed.where("loose").count()):
             break
-        open_pieces = packed.where("loose").select(*own)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.drop("loose")
+        open_pieces = packed.where("loose").select("row_id", "length")
+    return pieces.join(out, "row_id")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, keep_ids: bool = False, **how) -> DataFrame:

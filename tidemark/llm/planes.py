@@ -15,11 +15,12 @@ Layout of a shard, integers little-endian::
 
 A block's place is the sum of the sizes before it, so any range of ids is read without the rest.
 
-Shards are written by tasks under a name of the attempt and renamed when whole, so a lost executor or a
-second attempt leaves whole files only; a task's file depends on its rows alone.
+Every attempt of a task writes a file of its own name, and the manifest, which Spark commits with the results
+of one attempt of each task, names the files that count; nothing is renamed and readers look at no others.
 
-Defined cases: a null or empty text has its end id alone; null doc_ids come first; rows that share a
-doc_id are separate documents, in the order of their texts; an empty table writes no shard.
+Defined cases: doc_id holds whole numbers (other types are refused); a null or empty text has its end id
+alone; null doc_ids come first; rows that share a doc_id are separate documents, in the order of their
+texts' hashes; an empty table writes no shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .columns import whole_numbers
 from .scratch import stage
 from .words import raw_texts
 
@@ -165,13 +167,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
         encoder, end, writer = tokens.encoder(path), end_id.to_bytes(4, "little"), None
         system, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/shard-{TaskContext.get().partitionId():06d}"
-        trial = f"{name}.{uuid.uuid4().hex}.part"
+        name = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.planes"
         n_docs, first = 0, None
         for batch in batches:
             if batch.num_rows and writer is None:
                 first = batch.slice(0, 1)
-                out = system.open_output_stream(trial)
+                out = system.open_output_stream(name, compression=None)
                 writer = ShardWriter(out, planes, block_ids)
             for key, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 writer.add(key, encoder.ids(raw) + end)
@@ -179,9 +180,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         if writer is not None:
             total = writer.close()
             out.close()
-            system.move(trial, f"{name}.planes")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{name}.planes"]), pa.array([total]), pa.array([n_docs]), first.column(0).cast(pa.int64()), first.column(2)],
+                [pa.array([name]), pa.array([total]), pa.array([n_docs]), first.column(0).cast(pa.int64()), first.column(2)],
                 names=["path", "n_ids", "n_docs", "first_id", "first_hash"],
             )
 
@@ -189,6 +189,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
+    whole_numbers(docs, doc_id)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # Ranges over (doc_id, hash): a doc_id of very many rows is still dealt over many tasks.
     ranged = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")

@@ -10,8 +10,8 @@ Only counts by host are shuffled, and only rejected hosts, which are few or else
 meet the documents again.
 
 Defined cases: a null text has no words (and so fails for its length); a null host is a host of its own;
-repeated rows are separate documents; empty tables give no rows; columns other than those named are not
-read, and output columns are those listed.
+repeated rows are separate documents; empty tables give no rows; `verdicts` reads the columns that are
+named and no others, `kept_documents` carries all along, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import covered, uncovered
 from .scratch import stage
 from .words import raw_texts
 
@@ -42,10 +43,11 @@ RULES = {
     "short": f"n_words < {MIN_WORDS}",
     "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
     "symbols": "10 * n_symbols > 3 * word_chars",
-    "lines": "10 * n_dup_lines > 3 * n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
 }
 OWN_RULES = ("short", "repeats")
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: n_lines: lines with a word.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 _SPACES = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -80,15 +82,15 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
-def measure(raw: bytes) -> tuple[int, int, int, int, int]:
-    """The five measures of a text, in the order of MEASURES."""
+def measure(raw: bytes) -> tuple[int, int, int, int, int, int]:
+    """The measures of a text, in the order of MEASURES."""
     words = raw.split()
     if not words:
-        return 0, 0, int(np.isin(np.frombuffer(raw, np.uint8), _SYMBOLS).sum()), 0, 0
+        return 0, 0, int(np.isin(np.frombuffer(raw, np.uint8), _SYMBOLS).sum()), 0, 0, 0
     by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     chars = len(raw) - int(by_byte[0x80:0xC0].sum()) - int(by_byte[_SPACES].sum())
     lines = [line for line in raw.split(b"\n") if line.strip()]
-    return len(words), chars, int(by_byte[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, int(by_byte[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -151,15 +153,17 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
 
     Texts are measured twice, once for the hosts and once to filter, so that no text is shuffled.
     """
-    key = F.col(host).eqNullSafe(F.col("_rejected_host"))
     hosts = rejected_hosts(measured(docs.select(F.col(host).alias("source"), F.col(text).alias("text"))))
+    rows, own = covered(docs)
+    place = docs.columns.index(text)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for raw in raw_texts(batch.column(batch.schema.get_field_index(text))):
-                n, _, _, _, repeats = measure(raw)
+            for raw in raw_texts(batch.column(place)):
+                n, _, _, _, repeats, _ = measure(raw)
                 keep.append(n >= MIN_WORDS and 100 * repeats <= MAX_REPEAT_PERCENT * n)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema).join(hosts, key, "left_anti")
+    kept = rows.mapInArrow(passing, rows.schema).join(hosts, F.col(own[host]).eqNullSafe(F.col("_rejected_host")), "left_anti")
+    return uncovered(kept, docs)

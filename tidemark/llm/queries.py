@@ -24,8 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "times", "source")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 ORACLES["op1_source_mix"] = r"""
@@ -108,10 +107,10 @@ repeats AS (SELECT r, sum(CAST(inside AS BIGINT)) AS n_repeat_words FROM covered
 measures AS (
   SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
   FROM split LEFT JOIN repeats USING (r)),
 failures AS (
-  SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, 10 * n_symbols > 3 * word_chars AS f3, 10 * n_dup_lines > 3 * n_words AS f4
+  SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, 10 * n_symbols > 3 * word_chars AS f3, 10 * n_dup_lines > 3 * n_lines AS f4
   FROM measures),
 long AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS f FROM failures),
 hosts AS (SELECT source, rule, sum(CAST(f AS DOUBLE)) AS k, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY source, rule),
@@ -122,7 +121,7 @@ priors AS (
     THEN least(greatest(m * (1 - m) / (spread - m * (1 - m) * noise) - 1, 1.0::DOUBLE), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS s
   FROM moments),
 verdicts AS (SELECT source, bool_or((k + m * s) / (n + s) > 0.5) AS rejected FROM hosts JOIN priors USING (rule) GROUP BY source)
-SELECT doc_id, f.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT rejected AS kept
+SELECT doc_id, f.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT rejected AS kept
 FROM failures f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """
 

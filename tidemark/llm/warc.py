@@ -1,18 +1,22 @@
 """WARC archives: a writer, and a PySpark data source that reads headers first.
 
-*Reading.*  ``spark.read.format("tidemark_warc")`` plans partitions from the list of files: small files
-share one, up to ``partitionBytes``.  Predicates on the record type and other header columns are pushed
+*Reading.*  ``spark.read.format("tidemark_warc")`` plans partitions of about ``partitionBytes`` from the
+writer's manifest, which lists stretches of whole records, so that a large archive is read by many tasks and
+small ones share one.  A folder of other writers has no manifest; its files are then listed, each read by
+one task.  Predicates on the record type and other header columns are pushed
 down.  A record's headers are parsed first; its payload is decoded only if the predicates let the record
 pass and ``payload`` is not switched off.  A plain record that is not wanted is passed by its
 Content-Length, a compressed one by the member size that the writer leaves in the gzip header's extra
 field (members of other writers are inflated to find their end, a piece at a time).
 
-*Writing.*  One gzip member a record, of fixed memory.  Tasks write under a name of the attempt and rename
-whole files, so a lost executor leaves no half archive.
+*Writing.*  One gzip member a record, of fixed memory.  Every attempt of a task writes a file of its own name;
+the manifest, which Spark commits with the results of one attempt of each task, names those that count.
+Nothing is renamed, and what a lost executor leaves is never read.
 
-Defined cases: a null payload is empty; a null URL leaves the target header out; a null page_id leaves its
+Defined cases: page_id holds whole numbers (other types are refused); record ids name pages, so that rows of
+one page_id share theirs; a null payload is empty; a null URL leaves the target header out; a null page_id leaves its
 record id out; payloads under ``MIN_SHARED`` bytes are never shared; rows of one page_id and one payload
-are captures of the same page and are all responses if it is the first; an empty table writes no file.
+are captures of the same page and are all responses if it is the first; an empty table writes no file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
+from .columns import whole_numbers
 from .scratch import small_side, stage
 
 FORMAT = "tidemark_warc"
@@ -34,6 +39,12 @@ MIN_SHARED = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_ROWS = 500_000
+#: Bytes of archive that a stretch of the manifest, and a partition of the reader, hold at least.
+PARTITION_BYTES = 16 << 20
+#: The manifest's folder among the archives.
+MANIFEST = "_manifest"
+#: Rows and payload bytes of an Arrow batch of the reader.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: gzip header with an extra field of one subfield, "SL": the member's size.
 _HEAD = struct.Struct("<4sIBBH2sHI")
 _MAGIC = b"\x1f\x8b\x08\x04"
@@ -70,14 +81,15 @@ def record(payload: bytes, digest: str, url: str | None = None, page_id: int | N
 
 
 def write_archives(pages: DataFrame, folder: str, compressed: bool = True) -> DataFrame:
-    """Write (page_id, url, html) as archives under ``folder`` (a URI); returns the staged list of files.
+    """Write (page_id, url, html) as archives under ``folder`` (a URI); returns the manifest.
 
     Among equal payloads of MIN_SHARED bytes or more, the one of the smallest page_id is the response and
     the others are revisits.  Digests meet in a shuffle of digests; payloads are only shuffled if the
     payloads that repeat are too many to send to all tasks.
     """
+    whole_numbers(pages, "page_id")
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", "html").withColumns({"_digest": F.sha2(html, 256), "_long": F.octet_length(html) >= MIN_SHARED})
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"_digest": F.sha2(html, 256), "_long": F.octet_length(html) >= MIN_SHARED})
     shared = keyed.where("_long").groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     shared = stage(shared.select(F.col("_digest").alias("_key"), "_first"), "payloads")
     # Payloads that are never shared get keys of their own, so that they don't meet in one partition.
@@ -91,27 +103,33 @@ def write_archives(pages: DataFrame, folder: str, compressed: bool = True) -> Da
         from pyspark import TaskContext
 
         system, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/pages-{TaskContext.get().partitionId():06d}.warc" + ".gz" * compressed
-        trial = f"{name}.{uuid.uuid4().hex}.part"
-        out, n = None, 0
+        name = f"{root}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc" + ".gz" * compressed
+        out, stretches, start, at, n = None, [], 0, 0, 0
         for batch in batches:
-            columns = [batch.column(k) for k in (0, 1, 2, 3, 4)]
-            for page_id, url, text, digest, refers_to in zip(*columns):
+            for page_id, url, text, digest, refers_to in zip(*(batch.column(k) for k in range(5))):
                 if out is None:
-                    out = system.open_output_stream(trial)
+                    out = system.open_output_stream(name, compression=None)
                 data = record((text.as_py() or "").encode(), digest.as_py(), url.as_py(), page_id.as_py(), refers_to.as_py())
-                out.write(gzip_member(data) if compressed else data)
-                n += 1
+                data = gzip_member(data) if compressed else data
+                out.write(data)
+                at, n = at + len(data), n + 1
+                if at - start >= PARTITION_BYTES:
+                    stretches.append((name, start, at - start, n))
+                    start, n = at, 0
         if out is not None:
             out.close()
-            system.move(trial, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["path", "records"])
+            if n:
+                stretches.append((name, start, at - start, n))
+            names = ["path", "start", "bytes", "records"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*stretches)], names=names)
 
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    return stage(rows.mapInArrow(write, "path string, records long"), "warc-files")
+    kinds = "path string, start long, bytes long, records long"
+    rows.mapInArrow(write, kinds).write.parquet(f"{folder}/{MANIFEST}")
+    return pages.sparkSession.read.schema(kinds).parquet(f"{folder}/{MANIFEST}")
 
 
 class _Stream:
@@ -131,6 +149,8 @@ class _Stream:
         return out
 
     def skip(self, n: int) -> None:
+        if not n:
+            return
         self.at += n
         if n <= len(self._held):
             self._held = self._held[n:]
@@ -200,13 +220,14 @@ _COLUMNS = {
 }
 
 
-def read_records(source, wanted=lambda row: True, payload: bool = True) -> Iterator[dict]:
-    """Records of an open archive, plain or of gzip members.
+def read_records(source, wanted=lambda row: True, payload: bool = True, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Records of an open archive, plain or of gzip members, that begin from ``start`` and before ``end``.
 
     ``wanted`` judges a record by its headers before its payload is decoded.
     """
     stream = _Stream(source)
-    while head := stream.peek(2):
+    stream.skip(start)
+    while (end is None or stream.at < end) and (head := stream.peek(2)):
         if head == b"\r\n":
             stream.skip(2)
             continue
@@ -248,16 +269,18 @@ _TESTS = {
 }
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Stretches(InputPartition):
+    """Stretches of files, each a path, its first byte and the byte behind it (None: all)."""
+
+    def __init__(self, parts: list[tuple[str, int, int | None]]):
+        self.parts = parts
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options, schema):
         self._folder, self._schema = options["path"], schema
         self._payload = options.get("payload", "true").lower() == "true"
-        self._size = int(options.get("partitionBytes", 16 << 20))
+        self._size = int(options.get("partitionBytes", PARTITION_BYTES))
         self._tests: list[tuple[str, str, object, bool]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -273,21 +296,32 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self):
-        from pyarrow import fs
+    def _stretches(self) -> Iterator[tuple[str, int, int | None, int]]:
+        """Path, start, end and bytes of all that is to be read."""
+        from pyarrow import fs, parquet
 
         system, root = fs.FileSystem.from_uri(self._folder)
-        info = system.get_file_info(root)
+        info, manifest = system.get_file_info([root, f"{root}/{MANIFEST}"])
+        if manifest.type == fs.FileType.Directory:
+            listed = [f.path for f in system.get_file_info(fs.FileSelector(manifest.path)) if f.path.endswith(".parquet")]
+            for path in sorted(listed):
+                rows = parquet.read_table(path, columns=["path", "start", "bytes"], filesystem=system)
+                for name, start, size in zip(*(c.to_pylist() for c in rows.columns)):
+                    yield name, start, start + size, size
+            return
         files = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f for f in files if f.is_file and f.path.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
-        out, paths, held = [], [], 0
-        for f in files:
-            if paths and held + f.size > self._size:
-                out.append(_Files(paths))
-                paths, held = [], 0
-            paths.append(f.path)
-            held += f.size
-        return [*out, _Files(paths)] if paths or not out else out
+        for f in sorted((f for f in files if f.is_file and f.path.endswith((".warc", ".warc.gz"))), key=lambda f: f.path):
+            yield f.path, 0, None, f.size
+
+    def partitions(self):
+        out, parts, held = [], [], 0
+        for path, start, end, size in self._stretches():
+            if parts and held + size > self._size:
+                out.append(_Stretches(parts))
+                parts, held = [], 0
+            parts.append((path, start, end))
+            held += size
+        return [*out, _Stretches(parts)] if parts or not out else out
 
     def _wanted(self, row: dict) -> bool:
         for name, kind, value, negated in self._tests:
@@ -304,13 +338,29 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         from pyarrow import fs
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         system, _ = fs.FileSystem.from_uri(self._folder)
-        names = [f.name for f in self._schema]
-        for path in partition.paths:
+        shape = to_arrow_schema(self._schema)
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([_ARROW.get(f.name, lambda v: v)(r[f.name]) for r in rows], f.type) for f in shape], schema=shape)
+
+        for path, start, end in partition.parts:
             with system.open_input_file(path) as source:
-                for row in read_records(source, self._wanted, self._payload and "payload" in names):
-                    yield tuple(row[n] for n in names)
+                for row in read_records(source, self._wanted, self._payload and "payload" in shape.names, start, end):
+                    rows.append(row)
+                    held += len(row["payload"] or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield batch()
+                        rows, held = [], 0
+        if rows:
+            yield batch()
+
+
+#: How values are told to Arrow, where not as they are.
+_ARROW = {"headers": lambda found: list(found.items())}
 
 
 class WarcDataSource(DataSource):
@@ -328,6 +378,7 @@ class WarcDataSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True, **options) -> DataFrame:
+    """Records under ``folder``; predicates are pushed down while the session lets them, which this turns on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format(FORMAT).option("payload", str(payload).lower()).options(**options).load(folder)
