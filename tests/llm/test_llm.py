@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from conftest import DATA
 from tidemark.llm import chat, components, hnsw, jaccard, langid, lengths, mixing, packing, planes, quality, queries, scratch, tokens, warc
 
@@ -235,6 +236,26 @@ def test_components_are_brute_force(spark, docs, ngram, percent, block):
     assert got == brute_components(rows, ngram, percent)
 
 
+def test_a_large_cell_of_near_but_unlinked_sets(spark):
+    """All share the rarest shingles that they have in common, at 85 percent; some link in threes and some share prefix and size."""
+    base = [f"w{k}" for k in range(48)]
+    rows = [(k, " ".join(base + [f"u{k}x{j}" for j in range(4)])) for k in range(500)]
+    rows += [(1000 + k, " ".join(base + [f"u{k // 3}y{j}" for j in range(3)] + [f"z{k}"])) for k in range(60)]
+    rows += [(2000 + k, " ".join([f"v{k % 2}{j}" if j % 9 == 0 else w for j, w in enumerate(base)] + ["t", "t2", "t3"])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame, 3, 90, block=64).collect()}
+    assert got == brute_components(rows, 3, 90) and len({c for _, c in got.values()}) > 500
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40)), min_size=1, max_size=4), st.lists(st.sets(st.integers(0, 40)), min_size=1, max_size=4))
+def test_bits_of_groups_are_bounds(x, y):
+    words = lambda sets: np.stack([np.frombuffer(jaccard.parities(np.array(sorted(s), np.uint64)), np.uint64) for s in sets])
+    a, b = words(x), words(y)
+    ones, ors = np.stack([np.bitwise_and.reduce(a), np.bitwise_and.reduce(b)]), np.stack([np.bitwise_or.reduce(a), np.bitwise_or.reduce(b)])
+    assert jaccard.groups_apart(ones, ors, np.array([0]), np.array([1]))[0] <= min(len(s ^ t) for s in x for t in y)
+
+
 def test_jaccard_odd_rows(spark, odd):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
@@ -276,6 +297,38 @@ def test_language(spark, docs, odd):
     assert langid.identified_documents(docs).columns == docs.columns
 
 
+def test_unseen_scripts_count_for_no_language(spark, docs):
+    frame = spark.createDataFrame([(0, "καλημέρα κόσμε " * 20, None, None, 0), (1, "hello there Здравствуй мир", None, None, 0)], DOCS)
+    model = langid.learn(docs)
+    found = {r.doc_id: r for r in langid.identified(frame, model).collect()}
+    assert found[0].lang_score == 0 and found[0].lang_pred in model.languages and 0 < found[1].lang_score < 0.5
+
+
+def test_labels_and_scores_are_brute_force(spark):
+    """Two scripts, three languages: the narrowed candidates and the best path, against all paths of short texts."""
+    import itertools
+
+    rng = random.Random(4)
+    words = {"aa": ["tok", "tak", "tik", "kot"], "bb": ["zum", "zam", "muz", "maz"], "ру": ["мир", "дом", "лес", "кот"]}
+    taught = [(k, " ".join(rng.choices(words[lang], k=8)), lang, "s", 0) for k, lang in enumerate(sorted(words) * 30)]
+    asked = [(1000 + k, " ".join(rng.choices(sum(words.values(), []), k=5)), None, "s", 0) for k in range(40)]
+    model = langid.learn(spark.createDataFrame(taught, DOCS))
+    assert model.languages == sorted(words) and model.scripts.sum() == 3
+    found = {r.doc_id: r for r in langid.identified(spark.createDataFrame(asked, DOCS), model, spans=True).collect()}
+    for doc_id, text, *_ in asked:
+        held = langid.words_of(text.encode())
+        scores = model.scores(held)[:, :-1]
+        worth = lambda path: sum(scores[k, x] for k, x in enumerate(path)) - langid.PENALTY * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(3), repeat=5), key=worth)
+        own = [lang for s in found[doc_id].spans for lang in [s["lang"]] * (s["end"] - s["start"])]
+        assert worth([model.languages.index(x) for x in own]) == pytest.approx(worth(best), abs=1e-3)
+        assert all((lang == "ру") == (not w.isascii()) for lang, w in zip(own, held))
+        letters = collections.Counter()
+        for lang, w in zip(own, held):
+            letters[lang] += len(w)
+        assert letters[found[doc_id].lang_pred] == max(letters.values()) and found[doc_id].lang_score == pytest.approx(max(letters.values()) / sum(letters.values()))
+
+
 def test_mixed_spans(spark, docs):
     model = langid.learn(docs)
     part = {r.lang: r.text for r in docs.where("length(text) > 400").orderBy("doc_id").collect()}
@@ -316,6 +369,79 @@ def test_bad_hosts_and_odd_rows(spark, odd):
     assert quality.verdicts(odd).count() == len(ODD) and quality.verdicts(odd.limit(0)).count() == 0 and quality.kept_documents(odd).columns == odd.columns
 
 
+# Columns that clash -------------------------------------------------------------------------------------
+
+#: Names of helpers and outputs of all operators.
+TAKEN = """size source_size target weight times taken _mix_order _mix_source _mix_s _mix_times _mix_copy _mix_mark _rejected_host _rejected host_rejected base_failed kept
+    n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines _keep _again lang_pred lang_score n_spans spans held_out score n_shingles component_id
+    component node label gid members common middle fold bits c1 c2 g1 g2 prefix cell centre part role row_id piece start length ids ids_crc32 bucket
+    sequence_id offset loose round partition_bins partition_bound n_tokens n_docs text_hash path _carried_0 _carried_1 _digest _long _key _first refers_to
+    shard dim vector rank query_id example final conv_n count""".split()
+NEIGHBOURS = [(k, [float(k % 7 + 1), float(k % 5), 1.0]) for k in range(120)]
+SAID = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, None, None), (None, 0, "assistant", "x")]
+
+
+def archived(frame):
+    folder = scratch.new_path(frame.sparkSession, "test-warc")
+    warc.write_archives(frame, folder)
+    return warc.page_captures(frame.sparkSession, folder)
+
+
+def sharded(frame):
+    folder = scratch.new_path(frame.sparkSession, "test-planes")
+    return planes.read_shards(frame.sparkSession, folder, planes.write_shards(frame, folder))
+
+
+@pytest.mark.parametrize("run", [
+    mixing.mix, mixing.mixed_rows, quality.verdicts, quality.kept_documents, langid.identify, langid.identified_documents, jaccard.near_duplicates, jaccard.deduplicated,
+    lambda f: packing.pack_documents(f).select("doc_id", "piece", "start", "length", "ids_crc32"), lengths.length_histogram, sharded, archived, hnsw.nearest,
+    lambda f: chat.summarize(chat.expand(f)),
+], ids="mix mixed_rows verdicts kept_documents identify identified_documents near_duplicates deduplicated packing lengths planes warc hnsw chat".split())
+def test_clashing_columns_change_nothing(spark, odd, run, request):
+    kind = request.node.callspec.id
+    plain = {"warc": lambda: spark.createDataFrame(PAGES, "page_id long, url string, html string"), "hnsw": lambda: spark.createDataFrame(NEIGHBOURS, "vec_id long, embedding array<double>"),
+             "chat": lambda: spark.createDataFrame(SAID, "conv_id long, turn long, role string, text string")}.get(kind, lambda: odd)()
+    clashing = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in TAKEN if c not in plain.columns])
+    want, got = run(plain), run(clashing)
+    assert set(want.columns) <= set(got.columns)
+    rows = got.collect()
+    assert sorted(str(tuple(r[c] for c in want.columns)) for r in rows) == sorted(map(str, map(tuple, want.collect())))
+    if got.columns == clashing.columns:
+        assert all(r[c] == f"own {c}" for r in rows for c in TAKEN)
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark, odd):
+    texts = odd.withColumn("doc_id", F.col("doc_id").cast("string"))
+    for run in (jaccard.near_duplicates, lambda f: planes.write_shards(f, scratch.new_path(spark, "test-planes"))):
+        with pytest.raises(TypeError, match="doc_id"):
+            run(texts)
+
+
+def test_staged_tables_are_removed(spark):
+    from pathlib import Path
+
+    held, other = scratch.stage(spark.range(3), "test"), scratch.stage(spark.range(3), "test")
+    places = [Path(f._tidemark_path.removeprefix("file://")) for f in (held, other)]
+    assert all(p.is_dir() for p in places)
+    scratch.release(held)
+    assert [p.exists() for p in places] == [False, True] and other.count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, other=None: other)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    rows = scratch.stage(spark.range(100).select("id", F.lit("x" * 5000).alias("held")), "test")
+    hinted = lambda f: "Broadcast" in f._jdf.queryExecution().analyzed().toString() or "broadcast" in f._jdf.queryExecution().analyzed().toString()
+    assert hinted(scratch.small_side(rows, 1000)) and not hinted(scratch.small_side(rows, 1000, 100_000)) and not hinted(scratch.small_side(rows, 99))
+
+
 # Archives ------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, None, None), (4, "u\r\nv", "é" * 60), (5, "http://a/5", ""), (None, "n", "x" * 200), (6, "s", "s"), (6, "s", "s")]
@@ -337,6 +463,31 @@ def test_archives(spark, compressed):
     assert warc.page_captures(spark, empty).count() == 0
 
 
+def test_files_of_lost_attempts_are_not_read_and_large_archives_are_split(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PARTITION_BYTES", 600)
+    from pathlib import Path
+
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"{k} " * 300) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    folder = scratch.new_path(spark, "test-warc")
+    stretches = warc.write_archives(pages, folder, compressed=False).collect()
+    place = Path(folder.removeprefix("file://"))
+    whole = next(place.glob("*.warc"))
+    (place / "pages-000000-lost.warc").write_bytes(whole.read_bytes()[:5000])
+    assert sum(r.records for r in stretches) == 40 and sum(r.bytes for r in stretches) == whole.stat().st_size
+    frame = warc.read_archives(spark, folder, partitionBytes=2000)
+    assert frame.rdd.getNumPartitions() > 5 and sorted(r.record_id for r in frame.collect()) == sorted(f"<urn:page:{k}>" for k in range(40))
+
+
+def test_shards_of_lost_attempts_are_not_read(spark, docs):
+    from pathlib import Path
+
+    folder = scratch.new_path(spark, "test-planes")
+    manifest = planes.write_shards(docs, folder)
+    place = Path(folder.removeprefix("file://"))
+    (place / "shard-000000-lost.planes").write_bytes(next(place.glob("*.planes")).read_bytes()[:100])
+    assert planes.read_shards(spark, folder, manifest).count() == docs.count()
+
+
 def test_other_writers_and_payloads_left_alone():
     records = [warc.record(bytes([65 + k]) * 5000, "d", f"u{k}", k) for k in range(3)]
     for data in (b"".join(map(gzip.compress, records)), b"".join(map(warc.gzip_member, records)), b"".join(records)):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import release, stage
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -32,7 +32,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        fewer = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        release(edges, large)
+        edges = fewer
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

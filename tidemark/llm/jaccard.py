@@ -10,18 +10,25 @@ A document's set holds its distinct shingles of ``ngram`` words, as 64-bit hashe
    work, never results: any order is right.
 3. *Groups.*  Classes with identical prefixes and sizes collapse into one group, and only groups are
    indexed by the shingles of their prefix.  Index cells with the same groups are one cell.
-4. *Filter.*  Groups of a cell expand to their classes.  Every class meets the cell's most common member
-   (a star, so a cell of m classes gives m pairs) under the size filter and the bitmap filter: parity bits
-   of two sets differ in at most as many places as the sets differ in shingles.
-5. *Verify* on the whole sets; links give components.  Only cells whose members are not all in one
-   component go on: their members are dealt by hash over blocks of about BLOCK rows, and pairs across components
-   that pass the filters are verified.  So no link between components is lost, and no cell is ever
+4. *Group pairs.*  Every group of a cell meets the cell's most common group (a star, so a cell of m groups
+   gives m pairs).  A pair is filtered by size and by the parity bits on which all members of a group
+   agree: parity bits of two sets differ in at most as many places as the sets differ in shingles.
+5. *Expand and verify.*  In a pair that passes, the most common member of either group meets the members of
+   the other one, and likewise inside a group; the parity bits of the members filter again, and
+   what is left is verified on the whole sets.  Links give components.
+6. *The rest.*  Only cells whose members are not all in one component go on.  Their groups are parted by
+   length, as sets that link differ little in size, dealt by hash over blocks of about BLOCK groups, and
+   pairs that are not wholly in one component pass the filters of 4.  Only members of such pairs meet each other,
+   in blocks again, and are verified.  So no link between components is lost, and no cell is ever
    spelt out as all its pairs.
 
-Defined cases: a null text, or one without words, has an empty set, links with nothing and is its own
+Links inside a component beyond those that make it one are not looked for, nor counted.
+
+Defined cases: doc_id holds whole numbers (other types are refused); a null text, or one without words, has an empty set, links with nothing and is its own
 component; with fewer words than ``ngram`` the whole sequence is the one shingle; rows that share a doc_id
 are one document to the links, with n_shingles of each row; a null doc_id takes no part (component_id
-null); repeated rows are kept; an empty table gives no rows; columns other than those named are not read.
+null); repeated rows are kept; an empty table gives no rows.  `near_duplicates` reads the two columns that
+are named and no others, `deduplicated` carries all along, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,20 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import covered, uncovered, whole_numbers
 from .components import components
 from .remembered import remembered
-from .scratch import arrow_rows, small_side, stage
+from .scratch import arrow_rows, release, small_side, stage
 from .words import raw_texts
 
 NGRAM, PERCENT = 3, 90
-#: Slots of the table of rarity, a byte each, that goes to all tasks: 2 to this power.
-TABLE_BITS = 24
+#: Slots of the table of rarity, a byte each, that goes to all tasks: 2 to these powers, least and most, by the number of documents.
+TABLE_BITS, MOST_TABLE_BITS = 24, 27
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 400_000
 #: Rows of one side of a block, on average; cells of more than four times as many are never held by one task.
 BLOCK = 256
-#: Parity bits of a set, at least.
+#: Parity bits of a set, at least; those of a group are as many, in words of 64.
 BITS = 1024
+WORDS = BITS // 64
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -98,7 +107,7 @@ def most_apart(total, percent: int):
 def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
     """How often the most frequent shingle of each slot occurs in all documents, as 8 * log2 + 1; 0 if once.
 
-    A shingle's slot is the first TABLE_BITS bits of its hash.  Tasks sort the first bits of their shingles'
+    A shingle's slot is the first bits of its hash, as many as the table's size asks for.  Tasks sort the first bits of their shingles'
     hashes and send them as compressed differences, one to two bytes each, to the task of their range,
     which counts them and fills its part of the table.
     """
@@ -106,6 +115,7 @@ def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
     parts = min(max((expected >> 21).bit_length(), 6), 20)
     width = 32 if expected <= 1 << 30 else 48
     kind = np.dtype("<u4" if width == 32 else "<u8")
+    bits = min(MOST_TABLE_BITS, max(TABLE_BITS, (expected >> 7).bit_length()))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -144,48 +154,55 @@ def rarity_table(docs: DataFrame, ngram: int) -> np.ndarray:
             values.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).reshape(-1), dtype=kind))
         found, times = np.unique(np.concatenate(values), return_counts=True)
         found, times = found[times > 1], times[times > 1]
-        slots = np.zeros(1 << (TABLE_BITS - parts), np.uint8)
-        np.maximum.at(slots, (found >> kind.type(width - TABLE_BITS)).astype(np.int64), np.minimum(255, 1 + 8 * np.log2(times)).astype(np.uint8))
+        slots = np.zeros(1 << (bits - parts), np.uint8)
+        np.maximum.at(slots, (found >> kind.type(width - bits)).astype(np.int64), np.minimum(255, 1 + 8 * np.log2(times)).astype(np.uint8))
         return pa.table({"part": pa.array([part], pa.int64()), "slots": pa.array([slots.tobytes()], pa.binary())})
 
     spelt = docs.select("text").mapInArrow(spell, "part long, steps binary")
     with arrow_rows(docs.sparkSession, 1000):
         filled = spelt.groupBy("part").applyInArrow(count, "part long, slots binary").toArrow()
-    table = np.zeros((1 << parts, 1 << (TABLE_BITS - parts)), np.uint8)
+    table = np.zeros((1 << parts, 1 << (bits - parts)), np.uint8)
     for part, slots in zip(filled["part"].to_pylist(), filled["slots"]):
         table[part] = np.frombuffer(slots.as_buffer(), np.uint8)
     return table.reshape(-1)
 
 
 def signatures(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Per row of (doc_id, text), staged: n, digest (c1, c2), prefix and its digest (g1, g2), common, bits."""
+    """Per row of (doc_id, text), staged: n, digest (c1, c2), prefix and its digest (g1, g2), common, fold, bits.
+
+    fold holds BITS parity bits as words, bits those of a set of more shingles than that.
+    """
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, ngram))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = table.value
+        unused = np.uint64(65 - len(slots).bit_length())
         salts = np.array([0x1B873593, 0x85EBCA6B], np.uint64)
         for batch in batches:
-            numbers, prefixes, bits = np.zeros((batch.num_rows, 6), np.int64), [], []
+            numbers, prefixes, folds, bits = np.zeros((batch.num_rows, 6), np.int64), [], np.zeros((batch.num_rows, WORDS), np.int64), []
             for k, raw in enumerate(raw_texts(batch.column(1))):
                 found = shingles(raw, ngram)
                 n = len(found)
                 if not n:
                     prefixes.append(found)
-                    bits.append(b"")
+                    bits.append(None)
                     continue
-                often = slots[found >> np.uint64(64 - TABLE_BITS)]
+                often = slots[found >> unused]
                 prefix = found[np.argsort(often, kind="stable")[: prefix_length(n, percent)]]
                 whole = [int(_mix(found ^ s).sum()) for s in salts] + [int(_mix(prefix ^ s).sum()) for s in salts]
                 numbers[k] = np.array([n, int(often.sum(dtype=np.int64)), *whole], np.uint64).view(np.int64)
                 prefixes.append(prefix)
-                bits.append(parities(found))
+                own = parities(found)
+                folds[k] = _folded(own, BITS // 8).view(np.int64)
+                bits.append(own if 8 * len(own) > BITS else None)
             edges = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
-            columns = [batch.column(0), *(pa.array(numbers[:, k]) for k in range(6)), lists, pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "common", "c1", "c2", "g1", "g2", "prefix", "bits"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * (batch.num_rows + 1), WORDS), pa.int32()), pa.array(folds.reshape(-1)))
+            columns = [batch.column(0), *(pa.array(numbers[:, k]) for k in range(6)), lists, words, pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "common", "c1", "c2", "g1", "g2", "prefix", "fold", "bits"])
 
-    schema = "doc_id long, n long, common long, c1 long, c2 long, g1 long, g2 long, prefix array<long>, bits binary"
+    schema = "doc_id long, n long, common long, c1 long, c2 long, g1 long, g2 long, prefix array<long>, fold array<long>, bits binary"
     with arrow_rows(docs.sparkSession, 1000):
         return stage(docs.mapInArrow(sign, schema), "signatures")
 
@@ -219,8 +236,33 @@ def least_apart(bits: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """Staged (cell, doc_id, n, common, bits): classes that share a shingle of their prefixes."""
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """[rows, WORDS] of a column of words."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def _parities_of(fold: pa.Array | pa.ChunkedArray, bits: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [long or short.tobytes() for long, short in zip(bits.to_pylist(), _words(fold))]
+
+
+def groups_apart(ones: np.ndarray, ors: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Shingles in which any member of group p[i] and any of group q[i] differ at least: bits that are set in all
+    members of one and in none of the other."""
+    out = np.zeros(len(p), np.int64)
+    for at in range(0, len(p), 1 << 16):
+        x, y = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+        out[at : at + (1 << 16)] = np.bitwise_count((ones[x] & ~ors[y]) | (ones[y] & ~ors[x])).sum(axis=1)
+    return out
+
+
+def _cells(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: groups that share a shingle of their prefixes, and the members of all those groups.
+
+    (cell, gid, n, members, common, middle, ones, ors) has a row for each group of a cell; middle is the group's
+    most common member, ones and ors are the parity bits that all and that any of its members have.
+    (gid, members, doc_id, n, common, fold, bits) has a row for each class.
+    """
     shared = stage(classes.groupBy("g1", "g2", "n").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
     grouped = classes.join(small_side(shared, BROADCAST_ROWS), ["g1", "g2", "n"], "left").withColumns({
         "gid": F.coalesce("gid", "doc_id"), "members": F.coalesce("members", F.lit(1)),
@@ -236,127 +278,242 @@ def _cells(classes: DataFrame) -> DataFrame:
         F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("gid")), F.bit_xor(F.xxhash64("gid", F.lit("again")))).alias("cell")
     )
     cells = stage(rows.join(hashed, "token").select("cell", "gid").union(pairs).distinct(), "cells")
-    return stage(cells.join(grouped.select("gid", "doc_id", "n", "common", "bits"), "gid").drop("gid"), "members")
+    inside = stage(cells.select("gid").distinct(), "indexed")
+    members = grouped.join(small_side(inside, BROADCAST_ROWS), "gid").select("gid", "members", "doc_id", "n", "common", "fold", "bits")
+    members = stage(members, "members")
+    # The inverse of a doc_id falls as the doc_id rises, without an overflow.
+    words = [F.col("fold")[k] for k in range(WORDS)]
+    one = members.where("members = 1").select("gid", "n", "members", "common", F.col("doc_id").alias("middle"), F.col("fold").alias("ones"), F.col("fold").alias("ors"))
+    many = members.where("members > 1").groupBy("gid", "n", "members").agg(
+        F.max(F.struct("common", F.bitwise_not("doc_id").alias("inverse"))).alias("top"),
+        F.array(*map(F.bit_and, words)).alias("ones"), F.array(*map(F.bit_or, words)).alias("ors"),
+    ).select("gid", "n", "members", "top.common", F.bitwise_not("top.inverse").alias("middle"), "ones", "ors")
+    faced = stage(cells.join(one.union(many), "gid").select("cell", "gid", "n", "members", "common", "middle", "ones", "ors"), "faced")
+    release(rows, seen, inside, cells)
+    return faced, members
+
 
+_GROUP_PAIRS = "a_gid long, a_members long, a long, b_gid long, b_members long, b long, sure boolean"
 
-def _stars(cells: DataFrame, percent: int, large: int) -> DataFrame:
-    """Pairs (a, b) of each member and the most common member of its cell, as far as the filters let them.
 
-    The middle of a cell of more than ``large`` members is found by partial aggregates and joined to them
+def _group_pairs(x: pa.RecordBatch, y: pa.RecordBatch, good: np.ndarray) -> pa.RecordBatch:
+    """Rows (gid, n, members, middle) of both sides as pairs; sure where the groups' bits are those of the one member of each."""
+    (a, n, k, u), (b, m, l, v) = (side.columns[:4] for side in (x, y))
+    sure = (k.to_numpy() == 1) & (l.to_numpy() == 1) & (np.minimum(n.to_numpy(), m.to_numpy()) <= BITS)
+    return pa.RecordBatch.from_arrays([a, k, u, b, l, v, pa.array(sure)], names=["a_gid", "a_members", "a", "b_gid", "b_members", "b", "sure"]).filter(pa.array(good))
+
+
+def _stars(faced: DataFrame, percent: int, large: int) -> DataFrame:
+    """Pairs of each group and the most common group of its cell, as far as the filters let them.
+
+    The middle of a cell of more than ``large`` groups is found by partial aggregates and joined to them
     where they lie; only smaller cells are ordered, each within a task.
     """
-    sizes = stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select("cell"), "large-cells")
+    sizes = stage(faced.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large).select("cell"), "large-cells")
     big = small_side(sizes, BROADCAST_ROWS)
-    common_first = Window.partitionBy("cell").orderBy(F.col("common").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.first(F.struct("doc_id", "n", "bits")).over(common_first)
-    ordered = cells.join(big, "cell", "left_anti").withColumn("x", middle)
-    # The inverse of a doc_id falls as the doc_id rises, without an overflow.
-    top = F.max(F.struct("common", F.bitwise_not("doc_id").alias("inverse"), "n", "bits")).alias("top")
-    inside = cells.join(big, "cell")
-    middles = inside.groupBy("cell").agg(top).select("cell", F.struct(F.bitwise_not("top.inverse").alias("doc_id"), "top.n", "top.bits").alias("x"))
+    face = ("gid", "n", "members", "middle", "ones", "ors")
+    common_first = Window.partitionBy("cell").orderBy(F.col("common").desc(), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = faced.join(big, "cell", "left_anti").withColumn("x", F.first(F.struct(*face)).over(common_first))
+    top = F.max(F.struct("common", F.bitwise_not("gid").alias("inverse"), F.struct(*face).alias("x"))).alias("top")
+    inside = faced.join(big, "cell")
+    middles = inside.groupBy("cell").agg(top).select("cell", "top.x")
     joined = inside.join(small_side(stage(middles, "middles"), BLOCK * 16), "cell")
-    pairs = ordered.select("x", "doc_id", "n", "bits").unionByName(joined.select("x", "doc_id", "n", "bits")).where("doc_id != x.doc_id")
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"), F.col("doc_id").alias("b"), "n", "bits")
+    pairs = ordered.select("x", *face).unionByName(joined.select("x", *face)).where("gid != x.gid")
+    pairs = pairs.select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in face], *face)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_n, n = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            good = 100 * np.minimum(a_n, n) >= percent * np.maximum(a_n, n)
-            at = np.nonzero(good)[0]
-            apart = least_apart(batch.column(2).to_pylist() + batch.column(5).to_pylist(), at, batch.num_rows + at)
-            good[at] = apart <= most_apart(a_n[at] + n[at], percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(good))
-
-    return pairs.mapInArrow(passing, "a long, b long").distinct()
-
-
-def _blocks(cells: DataFrame, labels: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of one cell and two components that pass the filters."""
-    marked = cells.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
-    marked = stage(marked.select("cell", "doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("label")), "labelled")
-    mixed = marked.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = stage(mixed.where("size > 2 and low < high").select("cell", "size"), "mixed-cells")
-    chunks = F.ceil(F.col("size") / block)
-    rows = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks))
-    others = F.sequence(F.lit(0).cast("long"), chunks - 1)
-    dealt = rows.withColumn("other", F.explode(others)).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    dealt = dealt.select("cell", "i", "j", (F.col("chunk") == F.col("i")).alias("first"), "doc_id", "n", "label", "bits")
-    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        ids, n, label = (table[c].to_numpy() for c in ("doc_id", "n", "label"))
-        first = table["first"].to_numpy()
-        one = table["i"][0].as_py() == table["j"][0].as_py()
-        x, y = (np.arange(len(ids)),) * 2 if one else (np.nonzero(first)[0], np.nonzero(~first)[0])
-        low, high = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
-        good = (label[x][:, None] != label[y]) & (100 * low >= percent * high)
-        if one:
-            good &= x[:, None] < y
-        p, q = np.nonzero(good)
-        p, q = x[p], y[q]
-        close = least_apart(table["bits"].to_pylist(), p, q) <= most_apart(n[p] + n[q], percent)
-        a, b = ids[p[close]], ids[q[close]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            x, y = batch.select(list(range(6))), batch.select(list(range(6, 12)))
+            n, m = x.column(1).to_numpy(), y.column(1).to_numpy()
+            at = np.arange(batch.num_rows)
+            ones, ors = (np.concatenate((_words(x.column(k)), _words(y.column(k)))) for k in (4, 5))
+            good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (groups_apart(ones, ors, at, batch.num_rows + at) <= most_apart(n + m, percent))
+            yield _group_pairs(x, y, good)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last block, which the next batch may go on with
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            keys = np.stack([table[c].to_numpy() for c in ("cell", "i", "j")])
-            cuts = np.concatenate(([0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1))
-            for start, end in zip(cuts[:-1], cuts[1:]):
-                yield compare(table.slice(start, end - start).combine_chunks())
-            held = table.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield compare(held.combine_chunks())
+    return pairs.mapInArrow(passing, _GROUP_PAIRS).distinct()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def _close(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of members those that their sizes and their own parity bits let pass."""
+    own = members.select("doc_id", "n", "fold", "bits").distinct()
+    joined = pairs.join(own.toDF("a", "a_n", "a_fold", "a_bits"), "a").join(own.toDF("b", "b_n", "b_fold", "b_bits"), "b")
+    joined = joined.select("a", "a_n", "a_fold", "a_bits", "b", "b_n", "b_fold", "b_bits")
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(1).to_numpy(), batch.column(5).to_numpy()
+            good = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            at = np.nonzero(good)[0]
+            apart = least_apart(_parities_of(batch.column(2), batch.column(3)) + _parities_of(batch.column(6), batch.column(7)), at, batch.num_rows + at)
+            good[at] = apart <= most_apart(n[at] + m[at], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], names=["a", "b"]).filter(pa.array(good))
+
+    return joined.mapInArrow(passing, "a long, b long")
+
+
+def _expanded(pairs: DataFrame, faced: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members: the middle of either group with the members of the other, and of its own."""
+    pairs = stage(pairs, "group-pairs")
+    alone = pairs.where("a_members = 1 and b_members = 1")
+    own = faced.where("members > 1").select(F.col("middle").alias("a"), "gid").distinct()
+    spread = pairs.where("b_members > 1").select("a", F.col("b_gid").alias("gid")).union(pairs.where("a_members > 1").select("b", "a_gid")).union(own).distinct()
+    spread = spread.join(members.where("members > 1").select("gid", F.col("doc_id").alias("b")), "gid").where("a != b").select("a", "b")
+    doubtful = stage(alone.where("not sure").select("a", "b").union(spread).distinct(), "doubtful")
+    return alone.where("sure").select("a", "b").union(_close(doubtful, members, percent)).distinct()
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(i, j, first) for rows of (cell, home, key, ...): any two rows of a cell meet in one block (cell, i, j) at least, sorted by block."""
+    sizes = stage(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "block-sizes")
+    sized = rows.join(small_side(sizes, BROADCAST_ROWS), "cell", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("long"))
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).withColumn("first", F.col("chunk") == F.col("i"))
+    return dealt.drop("size", "chunks", "chunk", "other").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tables of one block each; a block may go on in the next batch."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = np.stack([table[c].to_numpy() for c in ("cell", "i", "j")])
+        cuts = np.concatenate(([0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1))
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            yield table.slice(start, end - start).combine_chunks()
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _meeting(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all two rows of a block one of which is at home, by size and where they are not in one component."""
+    n, low, high, home, first = (table[c].to_numpy() for c in ("n", "low", "high", "home", "first"))
+    one = table["i"][0].as_py() == table["j"][0].as_py()
+    x, y = (np.arange(len(n)),) * 2 if one else (np.nonzero(first)[0], np.nonzero(~first)[0])
+    good = 100 * np.minimum.outer(n[x], n[y]) >= percent * np.maximum.outer(n[x], n[y])
+    good &= (home[x][:, None] | home[y]) & (np.minimum.outer(low[x], low[y]) < np.maximum.outer(high[x], high[y]))
+    if one:
+        good &= x[:, None] < y
+    p, q = np.nonzero(good)
+    return x[p], y[q]
+
+
+def _rest(faced: DataFrame, members: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of members of one cell and two components that pass the filters."""
+    labelled = members.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
+    labelled = stage(labelled.select("gid", "members", "doc_id", "n", "fold", "bits", F.coalesce("component", "doc_id").alias("label")), "labelled")
+    sides = stage(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")), "sides")
+    marked = stage(faced.drop("common").join(small_side(sides, BROADCAST_ROWS), "gid"), "marked")
+    # Two classes in a cell have met already.
+    mixed = marked.groupBy("cell").agg(F.sum("members").alias("size"), F.min("low").alias("least"), F.max("high").alias("most"))
+    mixed = stage(mixed.where("size > 2 and least < most").select("cell"), "mixed-cells")
+    # Sizes of sets that link are less than one step of this ladder apart: each group is at home on its own
+    # step and a visitor on the one below.
+    step = F.floor(F.log(F.col("n")) / float(1.0001 * np.log(100 / percent))) if percent < 100 else F.col("n")
+    places = F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("home")), F.struct((step - 1).alias("step"), F.lit(False).alias("home")))).alias("place")
+    rows = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").select("*", places)
+    rows = rows.select(F.xxhash64("cell", "place.step").alias("cell"), "place.home", F.col("gid").alias("key"), "gid", "n", "members", "middle", "ones", "ors", "low", "high")
+
+    def meet_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_block(batches):
+            p, q = _meeting(table, percent)
+            n = table["n"].to_numpy()
+            close = groups_apart(_words(table["ones"]), _words(table["ors"]), p, q) <= most_apart(n[p] + n[q], percent)
+            batch = table.select(["gid", "n", "members", "middle"]).to_batches()[0]
+            p, q = p[close], q[close]
+            yield _group_pairs(batch.take(pa.array(p)), batch.take(pa.array(q)), np.ones(len(p), bool))
+
+    pairs = stage(_blocks(rows, block).mapInArrow(meet_groups, _GROUP_PAIRS).distinct(), "more-group-pairs")
+    alone = pairs.where("a_members = 1 and b_members = 1")
+    sure = alone.where("sure").select("a", "b").union(_close(alone.where("not sure").select("a", "b"), members, percent))
+    # The members of pairs of larger groups, and of groups that are not in one component, meet in blocks of their own.
+    both = pairs.where("a_members > 1 or b_members > 1").select(F.xxhash64("a_gid", "b_gid").alias("cell"), F.explode(F.array(
+        F.struct(F.col("a_gid").alias("gid"), F.lit(True).alias("home")), F.struct(F.col("b_gid").alias("gid"), F.lit(False).alias("home")))).alias("side"))
+    own = sides.where("low < high").select(F.xxhash64("gid", "gid").alias("cell"), F.struct("gid", F.lit(True).alias("home")).alias("side"))
+    sought = both.unionByName(own).select("cell", "side.home", "side.gid").distinct()
+    inner = sought.join(labelled, "gid").select("cell", "home", F.col("doc_id").alias("key"), "doc_id", "n", "fold", "bits", F.col("label").alias("low"), F.col("label").alias("high"))
+
+    def meet_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_block(batches):
+            p, q = _meeting(table, percent)
+            n, ids = table["n"].to_numpy(), table["doc_id"].to_numpy()
+            close = least_apart(_parities_of(table["fold"], table["bits"]), p, q) <= most_apart(n[p] + n[q], percent)
+            a, b = ids[p[close]], ids[q[close]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return sure.union(_blocks(stage(inner, "inner"), block).mapInArrow(meet_members, "a long, b long")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The staged links among candidate pairs, from the whole sets of their documents.
+    """The staged links among candidate pairs (a, b), from the whole sets of their documents.
 
-    Texts of the documents in pairs are what is shuffled; they take less room than their sets.
+    Texts of the documents in pairs are what is shuffled; they take less room than their sets.  Pairs meet
+    by their a, whose set is made once for at most about BLOCK pairs.
     """
     pairs = stage(pairs, "pairs")
-    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    texts = stage(docs.join(small_side(wanted, BROADCAST_ROWS), "doc_id", "left_semi"), "texts")
-    joined = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b").select("a", "b", "a_text", "b_text")
+    many = stage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"), "busy-centres")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    dealt = pairs.join(small_side(many, BROADCAST_ROWS), "a", "left").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), parts).alias("part"), "b")
+    centres = dealt.select("centre", "part", F.col("centre").alias("doc_id"), F.lit(0).alias("role")).distinct()
+    wanted = stage(dealt.select("centre", "part", F.col("b").alias("doc_id"), F.lit(1).alias("role")).union(centres), "wanted")
+    rows = docs.join(small_side(wanted, BROADCAST_ROWS), "doc_id").select("centre", "part", "role", "doc_id", "text")
+    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            good = []
-            for x, y in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3))):
-                both = np.concatenate((shingles(x, ngram), shingles(y, ngram)))
-                both.sort()
-                inside = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inside >= percent * (len(both) - inside) and inside > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            a, b = [], []
+            for centre, part, role, doc_id, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), raw_texts(batch.column(4))):
+                found = shingles(raw, ngram)
+                if role == 0:
+                    if (centre, part) != key:
+                        key, held = (centre, part), []
+                    held.append(found)
+                elif any(similar(found, x, percent) for x in held):
+                    a.append(centre)
+                    b.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     with arrow_rows(docs.sparkSession, 256):
-        return stage(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+        links = stage(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(pairs, many, wanted)
+    return links
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if not len(x) or not len(y):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    inside = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * inside >= percent * (len(x) + len(y) - inside)
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    whole_numbers(docs, doc_id)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = signatures(docs, ngram, percent)
     members = signed.where("n > 0 and doc_id is not null")
     # Only sets that occur again need a look for their smallest doc_id; a row of any other is a class.
     again = members.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = stage(again.drop("copies"), "copies")
-    classes = members.join(small_side(again, BROADCAST_ROWS), ["c1", "c2"], "left").where("least is null or doc_id = least")
-    cells = _cells(classes.select("doc_id", "n", "common", "g1", "g2", "prefix", "bits"))
-    links = _verified(_stars(cells, percent, 4 * block), docs, ngram, percent)
+    first = members.join(small_side(again, BROADCAST_ROWS), ["c1", "c2"], "left")
+    classes = first.where("least is null").unionByName(first.where("doc_id = least").dropDuplicates(["c1", "c2"]))
+    faced, inside = _cells(classes.select("doc_id", "n", "common", "g1", "g2", "prefix", "fold", "bits"))
+    links = _verified(_expanded(_stars(faced, percent, 4 * block), faced, inside, percent), docs, ngram, percent)
     labels = stage(components(links), "labels")
-    more = _verified(_blocks(cells, labels, percent, block), docs, ngram, percent)
+    more = _verified(_rest(faced, inside, labels, percent, block), docs, ngram, percent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
     named = classes.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id")).where("least is not null or component != doc_id")
     named = stage(named.select("c1", "c2", "component").distinct(), "named")
+    release(faced, inside, links, more)
     out = signed.select("doc_id", "n", "c1", "c2").join(small_side(named, BROADCAST_ROWS), ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
@@ -366,10 +523,12 @@ def deduplicated(docs: DataFrame, ngram: int = 5, percent: int = 80, text: str =
     """``docs`` with one row of each component, that of the smallest doc_id; rows without a doc_id stay."""
     found = near_duplicates(docs, ngram, percent, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     keep = small_side(stage(found, "keepers"), BROADCAST_ROWS)
-    named = docs.join(keep, F.col(doc_id) == F.col("_keep"), "left_semi")
+    rows, own = covered(docs)
+    key = F.col(own[doc_id])
+    named = rows.join(keep, key == F.col("_keep"), "left_semi")
     # Texts are only shuffled for rows that repeat a doc_id.
-    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_again")).count().where("count > 1").select("_again")
+    repeated = rows.where(key.isNotNull()).groupBy(key.alias("_again")).count().where("count > 1").select("_again")
     repeated = small_side(stage(repeated, "repeated"), BROADCAST_ROWS)
-    again = F.col(doc_id) == F.col("_again")
+    again = key == F.col("_again")
     once = named.join(repeated, again, "left_anti")
-    return once.unionByName(named.join(repeated, again, "left_semi").dropDuplicates([doc_id])).unionByName(docs.where(F.col(doc_id).isNull()))
+    return uncovered(once.unionByName(named.join(repeated, again, "left_semi").dropDuplicates([own[doc_id]])).unionByName(rows.where(key.isNull())), docs)
