@@ -535,6 +535,31 @@ def test_recall_on_clusters_of_near_copies(clusters, rows, apart):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+@pytest.mark.parametrize("spread", [0.4, 5.0])
+def test_recall_and_scores_with_few_of_many_shards(spark, spread):
+    rng = np.random.default_rng(8)
+    vectors = np.repeat(rng.normal(size=(30, 24)), 130, axis=0) + spread * rng.normal(size=(3900, 24))
+    vectors[2000:2600] = vectors[2000]  # a region of more rows than a shard holds
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    index = hnsw.build_index(frame, 5, 100)
+    shards = index.shards.count()
+    assert shards == index.regions.agg(F.sum("shards")).first()[0] >= 39 and index.regions.count() > 25
+    asked = frame.where("vec_id % 50 = 0")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for probes, least in ((12, 0.9), (None, 0.97)):
+        hits, rows = 0, hnsw.search_index(index, asked, probes=probes).collect()
+        for q in range(0, 3900, 50):
+            near = np.round(unit @ unit[q], 12)
+            near[q] = -9
+            hits += len({r.vec_id for r in rows if r.query_id == q} & set(np.lexsort((np.arange(3900), -near))[:5].tolist()))
+        assert hits >= least * 5 * 78 and len(rows) == 5 * 78
+        for r in rows:
+            x, y = vectors[r.query_id], vectors[r.vec_id]
+            assert r.score == pytest.approx(float(x @ y / np.sqrt((x @ x) * (y @ y))), abs=1e-14)
+    routed = hnsw._placed(asked, index.centres, 12)
+    assert routed.count() == 12 * 78
+
+
 def test_every_node_is_reached_from_the_level_above():
     links = np.array([[1, -1], [0, -1], [3, -1], [2, -1], [0, 2]])
     assert np.nonzero(hnsw._entries(links, np.array([True, False, False, False, False])))[0].tolist() == [0, 2, 4]

@@ -1,39 +1,51 @@
 """Approximate nearest neighbours by cosine: one hierarchical navigable small-world graph a shard.
 
-Rows are dealt over shards of a bounded number of rows.  In a shard, equal vectors are one node.  A node's
-level is drawn from its hash, a sixteenth of each level going on to the next; on every level a node is
-linked to near nodes in different directions (a candidate nearer to an earlier pick than to the node is
-passed over while others are left), and links go both ways.  As a shard is bounded, candidates are the
-true nearest nodes of the level, found in blocks.  Such links alone fall into islands where many rows are
-close together, so a level also gets the nodes that the level below needs: from them, links lead to every
-node there.  The first level of at most TOP nodes has no links.  A graph is stored in one row as flat
+Rows are dealt over regions, whose centres are fitted to a bounded sample, and a region of more than
+``shard_rows`` rows over several shards by hash, so that no shard grows with the data.  In a shard, equal
+vectors are one node.  A node's level is drawn from its hash, a sixteenth of each level going on to the
+next.  A level's graph is built by insertion, a batch of nodes after the other: each new node searches the
+graph so far and the batch itself, is linked to near nodes in different directions (a candidate nearer to an
+earlier pick than to the node is passed over while others are left), and its neighbours choose their
+links anew with it among them.  Such links alone may fall into islands where many rows are close
+together, so a level also gets the nodes that the level below needs: from them, links lead to every
+node there.  The top level of at most TOP nodes has no links.  A graph is stored in one row as flat
 arrays: nodes of each level, and a fixed number of neighbour slots for each of them, -1 where free.
 
 A search scores the whole top level and goes down from its best nodes, several at once, with a beam on
 each level; all queries of a block go in step.  The beam's best nodes are measured again on the original
-vectors.  Every block of queries meets every shard, and the results of shards are merged by score and id.
+vectors.  A query meets the shards of the ``probes`` regions with the nearest centres (None: of all), and the
+results of shards are merged by score and id.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
+Defined cases: vec_id holds whole numbers (other types are refused); vectors that are null, empty, zero or hold null or non-finite components take no part;
 only vectors of one length are compared; rows equal in id and vector count once; rows that share an id
 but not the vector are candidates of their own, though never each other's, and one query whose nearest
 are those of any of its vectors; ties go to the
-smaller id; a query without candidates has no rows; empty tables give no rows.
+smaller id; a query without candidates has no rows; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .columns import whole_numbers
+from .scratch import small_side, stage
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 256
 LINKS, BASE_LINKS, CANDIDATES, BEAM = 16, 32, 48, 96
+#: Nodes that are inserted together.
+INSERTED = 512
+#: Regions whose shards a query meets, most regions of vectors of one length, and lengths that get regions.
+PROBES, REGIONS, DIMS = 16, 4096, 16
+#: Rows and values of the sample that the centres are fitted to, at most, and rounds of fitting.
+SAMPLE_ROWS, SAMPLE_VALUES, ROUNDS = 1 << 16, 1 << 23, 8
 #: Nodes of a beam that are measured again, beyond the neighbours that are asked for.
 SPARE = 9
 #: Most nodes of a level that is scored whole, and nodes from which the level below is entered.
@@ -45,46 +57,73 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _links(unit: np.ndarray, keep: int) -> np.ndarray:
-    """[n, keep] neighbours of each row among the rows, -1 where free."""
-    n = len(unit)
-    wide = min(CANDIDATES, n - 1)
-    chosen = np.full((n, keep), -1, np.int32)
-    if wide < 1:
-        return chosen
-    for at in range(0, n, 256):
-        part = unit[at : at + 256]
-        near = part @ unit.T
-        near[np.arange(len(part)), np.arange(at, at + len(part))] = -np.inf
-        ids = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-        own = np.take_along_axis(near, ids, 1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        ids, own = np.take_along_axis(ids, order, 1), np.take_along_axis(own, order, 1)
-        spread = unit[ids]
+def _chosen(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
+    """[rows, keep] of the candidates ``ids`` (-1: none) of the nodes ``own``, those in different directions first."""
+    out = np.full((len(own), keep), -1, np.int64)
+    for at in range(0, len(own), 128):
+        part = ids[at : at + 128]
+        near = np.where(part >= 0, np.einsum("nd,nwd->nw", unit[own[at : at + 128]], unit[part]), -np.inf)
+        order = np.argsort(-near, axis=1, kind="stable")
+        part, near = np.take_along_axis(part, order, 1), np.take_along_axis(near, order, 1)
+        spread = unit[part]
         mutual = spread @ spread.transpose(0, 2, 1)
-        picked = np.zeros(ids.shape, bool)
-        for c in range(wide):
-            shadowed = (picked[:, :c] & (mutual[:, c, :c] > own[:, c, None])).any(axis=1)
-            picked[:, c] = ~shadowed & (picked[:, :c].sum(axis=1) < keep)
+        picked = np.zeros(part.shape, bool)
+        for c in range(part.shape[1]):
+            shadowed = (picked[:, :c] & (mutual[:, c, :c] > near[:, c, None])).any(axis=1)
+            picked[:, c] = ~shadowed & (part[:, c] >= 0) & (picked[:, :c].sum(axis=1) < keep)
         rank = np.argsort(~picked, axis=1, kind="stable")[:, :keep]  # the picked ones first, then the nearest of the rest
-        chosen[at : at + len(part), : rank.shape[1]] = np.take_along_axis(ids, rank, 1)
-    return chosen
+        out[at : at + 128, : rank.shape[1]] = np.take_along_axis(part, rank, 1)
+    return out
 
 
-def _both_ways(unit: np.ndarray, links: np.ndarray, slots: int) -> np.ndarray:
-    n = len(unit)
-    a, b = np.repeat(np.arange(n), links.shape[1]), links.reshape(-1)
-    a, b = a[b >= 0], b[b >= 0]
-    pairs = np.unique(np.concatenate((a * n + b, b.astype(np.int64) * n + a)))
-    a, b = pairs // n, pairs % n
-    near = np.einsum("nd,nd->n", unit[a], unit[b])
-    order = np.lexsort((b, -near, a))
+def _nearest(scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` highest scores of each row, best first."""
+    most = min(most, scores.shape[1])
+    best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most else np.empty((len(scores), 0), np.int64)
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
+
+
+def _linked(unit: np.ndarray, links: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Add links from a[i] to b[i]; a node without room for all chooses anew."""
+    order = np.lexsort((b, -np.einsum("nd,nd->n", unit[a], unit[b]), a))
     a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    out = np.full((n, slots), -1, np.int32)
-    fits = place < slots
-    out[a[fits], place[fits]] = b[fits]
-    return out
+    own, begin, count = np.unique(a, return_index=True, return_counts=True)
+    place = np.arange(len(a)) - np.repeat(begin, count)
+    slots = links.shape[1]
+    fits = place < slots  # the nearest of the new ones
+    more = np.full((len(own), min(slots, int(count.max()))), -1, np.int64)
+    more[np.repeat(np.arange(len(own)), count)[fits], place[fits]] = b[fits]
+    both = np.concatenate((links[own], more), axis=1)
+    held = both >= 0
+    room = held.sum(axis=1) <= slots
+    packed = np.take_along_axis(both, np.argsort(~held, axis=1, kind="stable"), 1)
+    links[own[room]] = packed[room, :slots]
+    if not room.all():
+        links[own[~room]] = _chosen(unit, own[~room], both[~room], slots)
+
+
+def _inserted(unit: np.ndarray, slots: int) -> np.ndarray:
+    """[n, slots] links among the rows, which are inserted in their order, a batch at a time; -1 where free."""
+    n = len(unit)
+    links = np.full((n, slots), -1, np.int64)
+    first = min(n, TOP)
+    at = 0
+    while at < n:
+        fresh = np.arange(at, min(n, at + (INSERTED if at else first)))
+        among = unit[fresh] @ unit[fresh].T
+        np.fill_diagonal(among, -np.inf)
+        candidates = fresh[_nearest(among, min(CANDIDATES, len(fresh) - 1))]
+        if at:
+            seeds = _nearest(unit[fresh] @ unit[:first].T, SEEDS)
+            candidates = np.concatenate((candidates, _beam(unit, np.arange(at), links, unit[fresh], seeds, CANDIDATES)), axis=1)
+        if candidates.shape[1]:
+            picked = _chosen(unit, fresh, candidates, LINKS)
+            a, b = np.repeat(fresh, picked.shape[1]), picked.reshape(-1)
+            a, b = a[b >= 0], b[b >= 0]
+            pairs = np.unique(np.concatenate((a * n + b, b * n + a)))
+            _linked(unit, links, pairs // n, pairs % n)
+        at = int(fresh[-1]) + 1
+    return links
 
 
 def _entries(links: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -120,11 +159,16 @@ class Graph:
         noise = (noise ^ (noise >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         chance = ((noise >> np.uint64(11)).astype(np.float64) + 1) / 2**53
         levels = np.floor(-np.log(np.minimum(chance, 1)) / np.log(LINKS)).astype(np.int64)
+        turn = np.argsort((noise ^ (noise >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F), kind="stable")
         nodes, links = [np.arange(len(unit), dtype=np.int32)], []
         while not links or len(nodes[-1]) > TOP:
             level, inside = len(links), nodes[-1]
-            local = _both_ways(unit[inside], _links(unit[inside], LINKS), LINKS if level else BASE_LINKS)
-            links.append(np.where(local >= 0, inside[local], -1).astype(np.int32))
+            order = turn[np.isin(turn, inside)]  # the level's nodes in the order of their insertion
+            own = _inserted(unit[order], LINKS if level else BASE_LINKS)
+            back = np.argsort(order)
+            named = np.where(own >= 0, order[own], -1)[back].astype(np.int32)
+            links.append(named)
+            local = np.where(named >= 0, np.searchsorted(inside, named), -1)
             nodes.append(inside[_entries(local, levels[inside] > level)])
         return cls(nodes, links)
 
@@ -152,41 +196,44 @@ class Graph:
         best = np.argsort(-(queries @ unit[top].T), axis=1, kind="stable")[:, : min(SEEDS, beam)]
         found = top[best].astype(np.int64)
         for level in range(len(self.links) - 1, -1, -1):
-            found = self._beam(level, unit, queries, found[:, : min(SEEDS, beam)], beam)
+            found = _beam(unit, self.nodes[level], self.links[level], queries, found[:, : min(SEEDS, beam)], beam)
         return found
 
-    def _beam(self, level: int, unit: np.ndarray, queries: np.ndarray, seeds: np.ndarray, beam: int) -> np.ndarray:
-        q, nodes = np.arange(len(queries)), self.nodes[level]
-        beam = min(beam, len(nodes))
-        found, scores = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, unit.dtype)
-        done = np.ones((len(q), beam), bool)
-        seen = np.zeros((len(q), len(unit)), bool)
-        wide, real = seeds.shape[1], seeds >= 0
-        found[:, :wide], done[:, :wide] = seeds, ~real
-        scores[:, :wide] = np.where(real, np.einsum("qd,qnd->qn", queries, unit[seeds]), -np.inf)
-        a, place = np.nonzero(real)
-        seen[a, seeds[a, place]] = True
-        active = q
-        while len(active):
-            open_scores = np.where(done[active], -np.inf, scores[active])
-            pick = open_scores.argmax(axis=1)
-            going = open_scores[np.arange(len(active)), pick] > -np.inf
-            active, pick = active[going], pick[going]
-            if not len(active):
-                break
-            done[active, pick] = True
-            near = self.links[level][np.searchsorted(nodes, found[active, pick])]
-            fresh = (near >= 0) & ~seen[active[:, None], near]
-            seen[active[:, None], np.where(fresh, near, found[active, pick][:, None])] = True
-            near_scores = np.where(fresh, np.einsum("qd,qnd->qn", queries[active], unit[near]), -np.inf)
-            all_scores = np.concatenate((scores[active], near_scores), axis=1)
-            top = np.argpartition(-all_scores, beam - 1, axis=1)[:, :beam]
-            scores[active] = np.take_along_axis(all_scores, top, 1)
-            found[active] = np.take_along_axis(np.concatenate((found[active], near), axis=1), top, 1)
-            done[active] = np.take_along_axis(np.concatenate((done[active], ~fresh), axis=1), top, 1)
-        order = np.argsort(-scores, axis=1, kind="stable")
-        found = np.take_along_axis(found, order, 1)
-        return np.where(np.take_along_axis(scores, order, 1) > -np.inf, found, -1)
+
+def _beam(unit: np.ndarray, nodes: np.ndarray, links: np.ndarray, queries: np.ndarray, seeds: np.ndarray, beam: int) -> np.ndarray:
+    """[queries, at most beam] of the ``nodes`` (in order) of a level that links lead to from the seeds, best first, -1 where there are no more."""
+    q = np.arange(len(queries))
+    beam = min(beam, len(nodes))
+    seeds = seeds[:, :beam]
+    found, scores = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, unit.dtype)
+    done = np.ones((len(q), beam), bool)
+    seen = np.zeros((len(q), len(unit)), bool)
+    wide, real = seeds.shape[1], seeds >= 0
+    found[:, :wide], done[:, :wide] = seeds, ~real
+    scores[:, :wide] = np.where(real, np.einsum("qd,qnd->qn", queries, unit[seeds]), -np.inf)
+    a, place = np.nonzero(real)
+    seen[a, seeds[a, place]] = True
+    active = q
+    while len(active):
+        open_scores = np.where(done[active], -np.inf, scores[active])
+        pick = open_scores.argmax(axis=1)
+        going = open_scores[np.arange(len(active)), pick] > -np.inf
+        active, pick = active[going], pick[going]
+        if not len(active):
+            break
+        done[active, pick] = True
+        near = links[np.searchsorted(nodes, found[active, pick])]
+        fresh = (near >= 0) & ~seen[active[:, None], near]
+        seen[active[:, None], np.where(fresh, near, found[active, pick][:, None])] = True
+        near_scores = np.where(fresh, np.einsum("qd,qnd->qn", queries[active], unit[near]), -np.inf)
+        all_scores = np.concatenate((scores[active], near_scores), axis=1)
+        top = np.argpartition(-all_scores, beam - 1, axis=1)[:, :beam]
+        scores[active] = np.take_along_axis(all_scores, top, 1)
+        found[active] = np.take_along_axis(np.concatenate((found[active], near), axis=1), top, 1)
+        done[active] = np.take_along_axis(np.concatenate((done[active], ~fresh), axis=1), top, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    found = np.take_along_axis(found, order, 1)
+    return np.where(np.take_along_axis(scores, order, 1) > -np.inf, found, -1)
 
 
 def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -195,14 +242,74 @@ def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((vectors * vectors).sum(axis=1)))
 
 
-def build_index(vectors: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Staged: one row a shard and length with its ids, vectors and graph.
+@dataclass(frozen=True)
+class Index:
+    """Shards (dim, region, shard, ids, counts, vectors, graph), how many of them each region has, and the regions' centres by dim."""
+
+    shards: DataFrame
+    regions: DataFrame
+    centres: dict[int, np.ndarray]
+
+
+def fitted_centres(sample: np.ndarray, regions: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit vectors, one a region, moved to the middle of the rows that are nearest to them."""
+    unit = _unit(sample)
+    centres = unit[:: max(1, len(unit) // regions)][:regions].copy()
+    for _ in range(rounds):
+        own = np.concatenate([(unit[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(unit), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), centres)
+    return centres
+
+
+def _centres(vectors: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
+    """Centres for the DIMS most frequent lengths of vectors; rows of other lengths are one region."""
+    frequent = vectors.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(DIMS).collect()
+    out = {}
+    for dim, rows in frequent:
+        wanted = min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // dim))
+        draw = F.pmod(F.xxhash64("vec_id", "vector", F.lit("centres")), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / rows) * (1 << 30)))
+        drawn = vectors.where((F.size("vector") == dim) & draw).orderBy("vec_id", "vector").limit(2 * wanted).select("vector").toArrow()["vector"].combine_chunks()
+        sample = drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        regions = min(REGIONS, -(-rows // shard_rows), max(1, len(sample) // 8))
+        if len(sample) and regions > 1:
+            out[dim] = fitted_centres(sample, regions)
+    return out
+
+
+def _placed(vectors: DataFrame, centres: dict[int, np.ndarray], probes: int | None) -> DataFrame:
+    """vec_id, vector, dim and region: the ``probes`` nearest regions, a row each (None: all)."""
+    table = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                rows = pa.array(np.nonzero(dims == dim)[0])
+                ids, held = batch.column(0).take(rows), batch.column(1).take(rows)
+                near = np.zeros((len(rows), 1), np.int64)
+                if (own := table.value.get(dim)) is not None:
+                    unit = _unit(held.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0)
+                    near = _nearest(unit @ own.T, len(own) if probes is None else probes)
+                again = pa.array(np.repeat(np.arange(len(rows)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(again), held.take(again), pa.array(np.full(len(again), dim, np.int32)), pa.array(near.reshape(-1).astype(np.int32))], names=["vec_id", "vector", "dim", "region"]
+                )
+
+    return vectors.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, dim int, region int")
+
+
+def build_index(vectors: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> Index:
+    """The staged shards of ``vectors``, which has vec_id and vector (array of double).
 
-    ``vectors`` has vec_id and vector (array of double).  Of equal vectors a node keeps the k + 1 smallest
-    ids, which are all that a list of k neighbours can hold of them.
+    Of equal vectors a node keeps the k + 1 smallest ids, which are all that a list of k neighbours can hold of them.
     """
-    shards = -(-vectors.count() // shard_rows) or 1
-    dealt = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
+    centres = _centres(vectors, shard_rows)
+    placed = _placed(vectors, centres, 1)
+    regions = stage(placed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")), "hnsw-regions")
+    dealt = placed.join(small_side(regions, REGIONS * DIMS), ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.col("shards"))).drop("shards")
 
     def build(table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
@@ -216,26 +323,26 @@ def build_index(vectors: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) ->
             if len(held[node]) <= k and (not held[node] or held[node][-1] != vec_id):
                 held[node].append(vec_id)
         unique = np.ascontiguousarray(rows[first])
-        row = {
-            "shard": [table["shard"][0].as_py()], "dim": [dim], "ids": [np.array(sum(held, []), np.int64).tobytes()],
-            "counts": [np.array([len(h) for h in held], np.int32).tobytes()], "vectors": [unique.tobytes()], "graph": [Graph.build(unique).flat()],
-        }
-        return pa.table(row, schema=pa.schema({"shard": pa.int64(), "dim": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "vectors": pa.binary(), "graph": pa.binary()}))
+        flat = [np.array(sum(held, []), np.int64).tobytes(), np.array([len(h) for h in held], np.int32).tobytes(), unique.tobytes(), Graph.build(unique).flat()]
+        place = table.select(["dim", "region", "shard"]).slice(0, 1)
+        for name, value in zip(("ids", "counts", "vectors", "graph"), flat):
+            place = place.append_column(name, pa.array([value], pa.binary()))
+        return place
 
-    schema = "shard long, dim int, ids binary, counts binary, vectors binary, graph binary"
-    return stage(dealt.groupBy("shard", "dim").applyInArrow(build, schema), "hnsw")
+    schema = "dim int, region int, shard long, ids binary, counts binary, vectors binary, graph binary"
+    return Index(stage(dealt.groupBy("dim", "region", "shard").applyInArrow(build, schema), "hnsw"), regions, centres)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest that the shards' graphs find for each query."""
+def search_index(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, block: int = QUERY_BLOCK, probes: int | None = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest that the graphs of the probed regions find for each query."""
     queries = stage(queries.select("vec_id", "vector").distinct(), "hnsw-queries")
-    blocks = -(-queries.count() // block) or 1
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.size("vector").alias("dim")).agg(
-        F.collect_list(F.struct("vec_id", "vector")).alias("queries")
-    )
-    shards = index.agg(F.max("shard")).first()[0] or 0
-    dealt = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards).cast("long"))))
-    met = index.join(dealt, ["shard", "dim"]).select("dim", "ids", "counts", "vectors", "graph", "queries")
+    routed = _placed(queries, index.centres, probes)
+    asked = routed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    met = stage(index.regions.join(asked, ["dim", "region"]), "hnsw-asked")
+    dealt = routed.join(small_side(met, REGIONS * DIMS), ["dim", "region"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    packed = dealt.groupBy("dim", "region", "shard", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    met = index.shards.join(packed, ["dim", "region", "shard"]).select("dim", "ids", "counts", "vectors", "graph", "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +376,11 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = B
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(
+    vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = BEAM, probes: int | None = PROBES
+) -> DataFrame:
     """The k nearest of each row whose id is divisible by ``every``, among all other rows."""
+    whole_numbers(vectors, vec_id)
     sound = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
     sound = sound.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    return search_index(build_index(sound, k, shard_rows), sound.where(F.pmod("vec_id", F.lit(every)) == 0), k, beam)
+    return search_index(build_index(sound, k, shard_rows), sound.where(F.pmod("vec_id", F.lit(every)) == 0), k, beam, probes=probes)
