@@ -7,6 +7,9 @@ machine stops at the moments when a timeout or a cooldown ends, so that a switch
 time; with every input silent the stream is exhausted (-1) until a packet comes.  A command sets the
 override if its input is healthy, switches at once, and holds until that input is degraded; a command
 without an input takes the override back.  Nothing probes a degraded input: its next packet restores it.
+
+Defined cases: rows without a time or a stream, and packets without an input, are left out; equal times are
+ordered packets first, then by event_id; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,12 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.statements import NOW
-from .segmenters import logical
-
 TIMEOUT_MS, COOLDOWN_MS = 3_600_000, 1_200_000
 
 
@@ -83,7 +83,7 @@ class Machine:
                 yield self._switch(ms, priority, "manual")
 
 
-def timeline(packets: DataFrame, overrides: DataFrame | None = None, timeout_ms: int = TIMEOUT_MS, cooldown_ms: int = COOLDOWN_MS, until_ms: int = NOW) -> DataFrame:
+def timeline(packets: DataFrame, overrides: DataFrame | None = None, timeout_ms: int = TIMEOUT_MS, cooldown_ms: int = COOLDOWN_MS, until_ms: int = 0) -> DataFrame:
     """Every packet, command and switch of each stream in order (``step``), with the active input after it.
 
     ``kind`` is packet, command or switch; only switches have from_input and reason.  ``overrides`` has the
@@ -94,6 +94,7 @@ def timeline(packets: DataFrame, overrides: DataFrame | None = None, timeout_ms:
     rows = packets.select(*names, F.lit("packet").alias("kind"))
     if overrides is not None:
         rows = rows.unionByName(overrides.select(*names, F.lit("command").alias("kind")))
+    rows = rows.where("ms IS NOT NULL AND stream_code IS NOT NULL AND (kind = 'command' OR input_priority IS NOT NULL)")
     schema = pa.schema([("stream_code", pa.string()), ("step", pa.int64()), ("kind", pa.string()), ("event_id", pa.int64()), ("ms", pa.int64()), ("input_priority", pa.int64()), ("from_input", pa.int64()), ("active", pa.int64()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +146,3 @@ def switch_history(packets: DataFrame, keep: int = 20, overrides: DataFrame | No
     switches = timeline(packets, overrides, **settings).where("kind = 'switch'")
     back = F.row_number().over(Window.partitionBy("stream_code").orderBy(F.desc("step")))
     return switches.withColumn("place", back).where(F.col("place") <= keep).select("stream_code", "ms", "from_input", F.col("active").alias("to_input"), "place", "reason")
-
-
-def _failover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline(logical(spark, sf_dir, "packets"))
-
-
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return switch_history(logical(spark, sf_dir, "packets"))
-
-
-QUERIES = {"failover": _failover, "switch_history": _history}

@@ -3,28 +3,28 @@
 Where a cut begins decides where the next one may fall, so no window of fixed borders gives these.  Rows
 are dealt by key and sorted, and a task goes through them once with the state of one key at a time; a key
 of any number of rows takes no more memory than its last cut.
+
+Defined cases: a row without a time (ms) has a null result and changes nothing; a null pts_ms, like 0, is no
+timestamp; equal times are ordered by event_id; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from ..plans import dialect
-from ..sources import views
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def scan_by_key(rows: DataFrame, key: str, order: list[str], step: Callable, start: Callable, output: str) -> DataFrame:
-    """Add a column to ``rows``: ``step(state, row)`` of each row in order, with a fresh state for each key.
+def scan_by_key(rows: DataFrame, key: str, time: str, step: Callable, start: Callable, output: str) -> DataFrame:
+    """Add a column to ``rows``: ``step(state, row)`` of each row in order of ``time`` and event_id, with a fresh state for each key.
 
     ``output`` is the column's name and type (long or double); rows are tuples in the columns' order.
     """
     name, kind = output.split()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {output}"
-    at = rows.columns.index(key)
+    at, clock = rows.columns.index(key), rows.columns.index(time)
     arrow = {"long": pa.int64(), "double": pa.float64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,36 +34,44 @@ def scan_by_key(rows: DataFrame, key: str, order: list[str], step: Callable, sta
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[at] != current:
                     current, state = row[at], start()
-                found.append(step(state, row))
+                found.append(None if row[clock] is None else step(state, row))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, name])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, time, "event_id").mapInArrow(run, schema)
 
 
 def span_segments(packets: DataFrame, target_ms: int) -> DataFrame:
-    """Segment numbers: a segment is cut once its span reaches the target, at the packet that crosses."""
+    """Segment numbers: once the timestamps span the target (the clock, without any), the packet that crosses ends the segment.
+
+    The next segment's span begins at that packet's own timestamp.
+    """
 
     def step(state: dict, row: tuple) -> int:
-        pts = row[2]
-        if state["from"] is None or pts - state["from"] >= target_ms:
-            state["from"], state["n"] = pts, state["n"] + 1
-        return state["n"]
+        _, _, ms, pts = row
+        state["opened"] = ms if state["opened"] is None else state["opened"]
+        if state["from"] is None and pts:
+            state["from"] = pts
+        own = state["n"]
+        if pts is not None and pts - state["from"] >= target_ms if state["from"] is not None else ms - state["opened"] >= target_ms:
+            state.update({"n": own + 1, "opened": ms, "from": pts or None})
+        return own
 
-    return scan_by_key(packets.select("stream_code", "event_id", "pts_ms"), "stream_code", ["pts_ms", "event_id"], step, lambda: {"from": None, "n": 0}, "segment long")
+    rows = packets.select("stream_code", "event_id", "ms", "pts_ms")
+    return scan_by_key(rows, "stream_code", "ms", step, lambda: {"from": None, "opened": None, "n": 1}, "segment long")
 
 
 def keyframe_segments(packets: DataFrame, target_ms: int) -> DataFrame:
     """A cut at the first keyframe from the target on, at any packet from 1.5 times it, and at a discontinuity."""
 
     def step(state: dict, row: tuple) -> int:
-        _, _, pts, key, broken = row
-        age = None if state["from"] is None else pts - state["from"]
+        _, _, ms, key, broken = row
+        age = None if state["from"] is None else ms - state["from"]
         if age is None or broken or (key and age >= target_ms) or 2 * age >= 3 * target_ms:
-            state["from"], state["n"] = pts, state["n"] + 1
+            state["from"], state["n"] = ms, state["n"] + 1
         return state["n"]
 
-    rows = packets.select("stream_code", "event_id", "pts_ms", "key_frame", "discontinuity")
-    return scan_by_key(rows, "stream_code", ["pts_ms", "event_id"], step, lambda: {"from": None, "n": 0}, "segment long").drop("key_frame", "discontinuity")
+    rows = packets.select("stream_code", "event_id", "ms", "key_frame", "discontinuity")
+    return scan_by_key(rows, "stream_code", "ms", step, lambda: {"from": None, "n": 0}, "segment long").drop("key_frame", "discontinuity")
 
 
 def bounded_sessions(hits: DataFrame, idle_ms: int, life_ms: int) -> DataFrame:
@@ -76,70 +84,94 @@ def bounded_sessions(hits: DataFrame, idle_ms: int, life_ms: int) -> DataFrame:
         state["last"] = ms
         return state["n"]
 
-    return scan_by_key(hits.select("user_id", "event_id", "ms"), "user_id", ["ms", "event_id"], step, lambda: {"from": None, "last": None, "n": 0}, "session long")
+    return scan_by_key(hits.select("user_id", "event_id", "ms"), "user_id", "ms", step, lambda: {"from": None, "last": None, "n": 0}, "session long")
 
 
 def smoothed_bitrate(packets: DataFrame, least_ms: int = 3000) -> DataFrame:
-    """Kbps after each packet: bytes gathered for at least ``least_ms``, then half old and half new."""
+    """Kbps after each packet: bytes gathered for at least ``least_ms``, this packet's too, then half old and half new."""
 
     def step(state: dict, row: tuple) -> float:
         _, _, ms, size = row
-        if state["from"] is None:
-            state["from"] = ms
-        elif ms - state["from"] >= least_ms:
-            fresh = state["bytes"] * 8 / (ms - state["from"])
-            state["kbps"] = fresh if state["kbps"] is None else 0.5 * state["kbps"] + 0.5 * fresh
+        state["from"] = ms if state["from"] is None else state["from"]
+        state["bytes"] += size or 0
+        elapsed = ms - state["from"]
+        if elapsed >= least_ms and elapsed > 0:
+            fresh = state["bytes"] * 8 / elapsed
+            state["kbps"] = 0.5 * state["kbps"] + 0.5 * fresh if state["kbps"] else fresh
             state["from"], state["bytes"] = ms, 0
-        state["bytes"] += size
-        return float(int((state["kbps"] or 0.0) + 0.5))
+        return float(int(state["kbps"] + 0.5))
 
     rows = packets.selectExpr("stream_code || ' ' || codec AS track", "event_id", "ms", "size")
-    return scan_by_key(rows, "track", ["ms", "event_id"], step, lambda: {"from": None, "bytes": 0, "kbps": None}, "kbps double")
+    return scan_by_key(rows, "track", "ms", step, lambda: {"from": None, "bytes": 0, "kbps": 0.0}, "kbps double")
 
 
 def dash_segments(packets: DataFrame, target_ms: int, audio_frames: int) -> DataFrame:
-    """A cut when the wall clock is due, or queued video reaches the target, or enough frames of audio alone."""
-
-    def step(state: dict, row: tuple) -> int:
-        _, _, ms, codec = row
-        video = codec != "aac"
-        due = state["from"] is None or ms - state["from"] >= target_ms or (not state["video"] and state["frames"] >= audio_frames)
-        if due:
-            state.update({"from": ms, "n": state["n"] + 1, "video": False, "frames": 0})
-        state["video"] |= video
-        state["frames"] += not video
-        return state["n"]
-
-    rows = packets.select("stream_code", "event_id", "ms", "codec")
-    return scan_by_key(rows, "stream_code", ["ms", "event_id"], step, lambda: {"from": None, "n": 0, "video": False, "frames": 0}, "segment long")
+    """Segment numbers; each packet is a tick after which a cut is due.
 
-
-def resync(chunks: list[bytes]) -> list[int]:
-    """Offsets of 188-byte packets in a transport stream that comes in chunks.
-
-    A packet starts with 0x47 and, where the stream goes on, so does the next; up to 187 bytes are carried.
+    It is due when the clock reaches the target, when the video that waits spans it (in the first segment only if it begins
+    with a keyframe), or when enough frames wait of a stream that has had audio alone.
     """
-    data = np.frombuffer(b"".join(chunks), np.uint8)
-    found, at = [], 0
-    while at + 188 <= len(data):
-        if data[at] == 0x47 and (at + 188 == len(data) or data[at + 188] == 0x47):
-            found.append(at)
-            at += 188
-        else:
-            at += 1
-    return found
-
-
-def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A logical input as a DataFrame."""
-    table = views.TABLES[name]
-    return spark.sql(views.view(dialect.Spark, name), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
+    def step(state: dict, row: tuple) -> int:
+        _, _, ms, codec, key, pts = row
+        own, video = state["n"], codec in ("h264", "h265")
+        state["opened"] = ms if state["opened"] is None else state["opened"]
+        if video:
+            state["seen"] = True
+            if pts is not None:
+                if state["first"] is None:
+                    state["first"], state["key"] = pts, bool(key)
+                state["last"] = pts
+        else:
+            state["frames"] += 1
+        waits = state["first"] is not None and state["last"] - state["first"] >= target_ms and (own > 1 or state["key"])
+        if ms - state["opened"] >= target_ms or waits or (not state["seen"] and state["frames"] >= audio_frames):
+            state.update({"n": own + 1, "opened": None, "first": None, "last": None, "frames": 0})
+        return own
+
+    rows = packets.select("stream_code", "event_id", "ms", "codec", "key_frame", "pts_ms")
+    start = lambda: {"n": 1, "opened": None, "first": None, "last": None, "key": False, "frames": 0, "seen": False}
+    return scan_by_key(rows, "stream_code", "ms", step, start, "segment long").drop("key_frame", "pts_ms")
+
+
+class Aligner:
+    """188-byte packets of a transport stream that comes in chunks; what may still become a packet is carried over."""
+
+    def __init__(self):
+        self._held = b""
+
+    def feed(self, chunk: bytes) -> list[bytes]:
+        """Packets that are whole now: they start with 0x47, and where the stream is known to go on, so does the next."""
+        data, at, found = self._held + chunk, 0, []
+        while len(data) - at >= 188:
+            sync = data.find(b"\x47", at)
+            if sync < 0:
+                at = len(data) - 187
+            elif len(data) - sync < 188:
+                at = sync
+                break
+            elif len(data) - sync >= 376 and data[sync + 188] != 0x47:
+                at = sync + 1
+            else:
+                found.append(data[sync : sync + 188])
+                at = sync + 188
+        self._held = data[at:]
+        return found
+
+
+def aligned_packets(chunks: DataFrame) -> DataFrame:
+    """(stream_code, seq, packet) of every whole packet of chunks (stream_code, seq, data) in order; seq is the chunk that made it whole."""
 
-QUERIES = {
-    "dvr_segments": lambda spark, sf_dir: span_segments(logical(spark, sf_dir, "packets"), 6 * 3_600_000),
-    "hls_segments": lambda spark, sf_dir: keyframe_segments(logical(spark, sf_dir, "packets"), 6 * 3_600_000),
-    "dash_segments": lambda spark, sf_dir: dash_segments(logical(spark, sf_dir, "packets"), 6 * 3_600_000, 20),
-    "session_max_life": lambda spark, sf_dir: bounded_sessions(logical(spark, sf_dir, "hits"), 21_600_000, 2 * 86_400_000),
-    "bitrate_ewma": lambda spark, sf_dir: smoothed_bitrate(logical(spark, sf_dir, "packets")),
-}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, aligner = object(), None
+        for batch in batches:
+            out = []
+            for code, seq, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if code != current:
+                    current, aligner = code, Aligner()
+                out += [(code, seq, packet) for packet in aligner.feed(data or b"")]
+            kinds = (pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["stream_code", "seq", "packet"])
+
+    rows = chunks.select("stream_code", F.col("seq").cast("long").alias("seq"), "data")
+    return rows.repartition("stream_code").sortWithinPartitions("stream_code", "seq").mapInArrow(run, "stream_code string, seq long, packet binary")

@@ -7,7 +7,7 @@ class Spark:
     """Words that differ; tables are given to ``spark.sql`` as DataFrames."""
 
     table = staticmethod(lambda name: "{" + name + "}")
-    div = staticmethod(lambda a, b: f"({a} div {b})")
+    div = staticmethod(lambda a, b: f"(({a}) div {b})")
     ms = staticmethod(lambda ts: f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})")
     matches = staticmethod(lambda s, p: f"regexp_like({s}, '{p}')")
     sha = staticmethod(lambda s: f"sha2({s}, 256)")
@@ -23,7 +23,7 @@ class Spark:
 
 class Duck:
     table = staticmethod(lambda name: name)
-    div = staticmethod(lambda a, b: f"({a} // {b})")
+    div = staticmethod(lambda a, b: f"(({a}) // {b})")
     ms = staticmethod(lambda ts: f"(epoch_us({ts}) // 1000)")
     matches = staticmethod(lambda s, p: f"regexp_matches({s}, '{p}')")
     sha = staticmethod(lambda s: f"sha256({s})")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import dialect, statements
-from . import views
-
 
 def media_playlist(lines: DataFrame) -> DataFrame:
     """Segments of media playlists given as (playlist, line_no, line).
@@ -44,14 +41,19 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return texts.select("playlist", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
 
 
-def _manifests(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    names, body = statements.ALL[name]
-    tables = {t for t in map(views.TABLES.get, names) if t}
-    text = views.with_views(dialect.Spark, names, body(dialect.Spark))
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}).selectExpr("stream_code AS playlist", "manifest AS text")
-
+def recording_playlist(lines: DataFrame) -> DataFrame:
+    """Segments of recordings' playlists given as (playlist, line_no, line): idx, wall_ms, duration_ms and discontinuity.
 
-QUERIES = {
-    "parse_media_playlist": lambda spark, sf_dir: media_playlist(lines_of(_manifests(spark, sf_dir, "hls_manifest"))),
-    "parse_master_playlist": lambda spark, sf_dir: variants(lines_of(_manifests(spark, sf_dir, "hls_master"))),
-}
+    The number is the file's name; a date holds on for the segments after it, and entries whose name is no number, or
+    that have no length, are left out.
+    """
+    order = Window.partitionBy("playlist").orderBy("line_no")
+    date = F.when(F.col("line").startswith("#EXT-X-PROGRAM-DATE-TIME:"), F.unix_millis(F.expr("try_to_timestamp(substr(line, 26), \"yyyy-MM-dd'T'HH:mm:ss.SSSX\")")))
+    lines = lines.withColumn("line", F.trim("line")).withColumn("wall_ms", F.last(date, ignorenulls=True).over(order))
+    lines = lines.withColumn("is_address", (F.col("line") != "") & ~F.col("line").startswith("#"))
+    lines = lines.withColumn("entry", F.coalesce(F.sum(F.col("is_address").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    entry = lines.groupBy("playlist", "entry").agg(
+        F.max(F.when(F.col("is_address"), F.regexp_extract("line", r"^(?:.*/)?([0-9]+)(?:[.]ts)?$", 1))).alias("name"), F.max(F.when(F.col("is_address"), F.col("wall_ms"))).alias("wall_ms"),
+        F.max(F.expr("try_cast(nullif(regexp_extract(line, '^#EXTINF:([^,]*),?$', 1), '') AS double)")).alias("seconds"), F.max(F.col("line") == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
+    )
+    return entry.where("name != '' AND seconds IS NOT NULL").select("playlist", F.col("name").cast("long").alias("idx"), "wall_ms", F.round(F.col("seconds") * 1000).cast("long").alias("duration_ms"), "discontinuity")
