@@ -94,6 +94,34 @@ def test_failover_obeys_healthy_overrides(spark):
     assert back[2:] == [(300, 1, 0, "failback"), (481, 0, 1, "timeout"), (491, 1, -1, "exhausted")]
 
 
+def test_failover_on_errors_and_removed_inputs(spark):
+    kind = "stream_code string, event_id long, ms long, input_priority long"
+    rows = spark.createDataFrame([("a", k, 10 * k, k % 2) for k in range(20)], kind)
+    told = spark.createDataFrame([("a", 1, 31, 0, "error"), ("a", 2, 165, 1, "remove"), ("a", 3, 166, 9, "error")], kind + ", kind string")
+    history = failover.switch_history(rows, overrides=told, timeout_ms=100, cooldown_ms=1000, until_ms=1000)
+    assert [(r.ms, r.from_input, r.to_input, r.reason) for r in history.orderBy(F.desc("place")).collect()] == [(0, -1, 0, "initial"), (31, 0, 1, "error"), (165, 1, 0, "input_removed"), (281, 0, 1, "timeout"), (291, 1, -1, "exhausted")]
+
+
+def test_failover_stream_equals_batch(spark, tmp_path):
+    from tidemark.streaming.failover import switch_stream
+
+    start = 1_700_000_000_000
+    rows = [("a", 1, 0, 0), ("a", 2, 50_000, 1), ("a", 3, 400_000, 1), ("a", 4, 420_000, 0), ("b", 5, 410_000, 2), ("a", 6, 2_000_000, 1), ("b", 7, 2_000_000, 2), ("b", 8, 4_000_000, 2), ("a", 9, 4_000_000, 0)]
+    rows = [(code, k, start + ms, p) for code, k, ms, p in rows]
+    frame = spark.createDataFrame(rows, "stream_code string, event_id long, ms long, input_priority long").withColumn("kind", F.lit("packet"))
+    for k in range(3):  # a micro-batch each
+        frame.where(f"event_id > {3 * k} AND event_id <= {3 * k + 3}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    got = []
+    stream = switch_stream(source, 100_000, 100_000, "1 second")
+    query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint").foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect()))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = failover.switch_history(frame, keep=99, timeout_ms=100_000, cooldown_ms=100_000).select("stream_code", "ms", "from_input", "to_input", "reason")
+    told = {tuple(r) for r in batch.collect()}
+    # What is due after the last watermark is still to come.
+    assert set(got) == {t for t in told if t[1] <= start + 4_000_000} and len(got) == len(set(got)) > 6
+
+
 def test_playlists(spark):
     text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXTINF:4.0,\nseg_8.ts\n#EXT-X-DISCONTINUITY\n#EXTINF:3.5,\nseg_9.ts\n"
     lines = readers.lines_of(spark.createDataFrame([("p", text)], "playlist string, text string"))
