@@ -69,6 +69,31 @@ def test_words_give_the_librarys_ids(text):
     assert tokens.encoder(tokens.vocabulary()).ids(text.encode()) == encoded(text).tobytes()
 
 
+def test_vocabularies_that_keep_white_space_are_refused():
+    import pathlib
+
+    others = [p for p in pathlib.Path(tokens.vocabulary()).parent.glob("*.json") if p.name != tokens.WORD_BPE]
+    for path in others:
+        library = Tokenizer.from_file(str(path))
+        spaced = library.encode("a b\n\nc", add_special_tokens=False).ids == [i for w in "abc" for i in library.encode(w, add_special_tokens=False).ids]
+        if not spaced:
+            with pytest.raises(ValueError, match="white space"):
+                tokens.WordEncoder(str(path))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.integers(-(1 << 63), (1 << 63) - 1)), max_size=60), st.integers(1, 9))
+def test_ranges_keep_the_order(rows, parts):
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    there = sorted(r[0] for r in rows if r[0] is not None)
+    bounds = np.array([there[len(there) * k // parts] for k in range(1, parts)] if there else [], np.int64)
+    nulls = 2 if len(there) < len(rows) else 0
+    found = planes._parts(pa.array([r[0] for r in rows], pa.int64()), np.array([r[1] for r in rows], np.int64), parts + nulls, nulls, bounds)
+    assert (np.diff(found) >= 0).all() and all(0 <= f < parts + nulls for f in found) and all((f < nulls) == (r[0] is None) for f, r in zip(found, rows))
+
+
 def test_forgetting_words_changes_nothing():
     small = tokens.WordEncoder(tokens.vocabulary(), memory_words=3, memory_bytes=6)
     text = "alpha beta gamma delta <|endoftext|> alpha extraordinarily beta"

@@ -13,6 +13,9 @@ Layout of a shard, integers little-endian::
                         | uint8 [docs] doc_id is there | int64 [docs] number of ids
     footer: uint64 offset of index, bytes of index, ids, docs, blocks | magic
 
+Documents are encoded where they lie; what is shuffled are their ids, in two bytes each where the vocabulary
+lets them, to ranges of doc_ids that are planned from the ids' quantiles alone.
+
 A block's place is the sum of the sizes before it, so any range of ids is read without the rest.
 
 Every attempt of a task writes a file of its own name, and the manifest, which Spark commits with the results
@@ -159,47 +162,68 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     Returns the staged manifest: path, n_ids, n_docs and ``start``, the ids of all shards before it.
     """
-    path = vocabulary or tokens.vocabulary()
+    path, spark = vocabulary or tokens.vocabulary(), docs.sparkSession
+    whole_numbers(docs, doc_id)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, nulls, bounds = _ranges(rows.select("doc_id"), parts)
+    width = np.dtype("<u2" if max(tokens.encoder(path).size, end_id + 1) <= 1 << 16 else "<u4")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = tokens.encoder(path), end_id.to_bytes(4, "little")
+        for batch in batches:
+            part = _parts(batch.column(0), batch.column(2).to_numpy(), n, nulls, bounds)
+            ids = (np.frombuffer(encoder.ids(raw) + end, "<u4").astype(width).tobytes() for raw in raw_texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["part", "doc_id", "text_hash", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, end, writer = tokens.encoder(path), end_id.to_bytes(4, "little"), None
         system, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.planes"
-        n_docs, first = 0, None
+        number, writer, n_docs = TaskContext.get().partitionId(), None, 0
+        name = f"{root}/shard-{number:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
             if batch.num_rows and writer is None:
-                first = batch.slice(0, 1)
                 out = system.open_output_stream(name, compression=None)
                 writer = ShardWriter(out, planes, block_ids)
-            for key, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                writer.add(key, encoder.ids(raw) + end)
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                writer.add(key, np.frombuffer(ids.as_py(), width).astype("<u4").tobytes())
             n_docs += batch.num_rows
         if writer is not None:
             total = writer.close()
             out.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([total]), pa.array([n_docs]), first.column(0).cast(pa.int64()), first.column(2)],
-                names=["path", "n_ids", "n_docs", "first_id", "first_hash"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([total]), pa.array([n_docs])], names=["part", "path", "n_ids", "n_docs"])
 
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    whole_numbers(docs, doc_id)
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    # Ranges over (doc_id, hash): a doc_id of very many rows is still dealt over many tasks.
-    ranged = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
-    manifest = stage(ranged.mapInArrow(lambda b: write(_in_order(b)), "path string, n_ids long, n_docs long, first_id long, first_hash long"), "plane-manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "path").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).drop("first_id", "first_hash")
-
-
-def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+    encoded = rows.mapInArrow(encode, "part int, doc_id long, text_hash long, ids binary")
+    ranged = encoded.repartitionById(n, "part").sortWithinPartitions("doc_id", "text_hash", "ids").select("doc_id", "ids")
+    manifest = stage(ranged.mapInArrow(write, "part int, path string, n_ids long, n_docs long"), "plane-manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).drop("part")
+
+
+def _ranges(ids: DataFrame, parts: int) -> tuple[int, int, np.ndarray]:
+    """How many ranges there are, how many of them are for nulls, and the bounds between the others, from the ids alone."""
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    every, there, found = ids.agg(F.count(F.lit(1)), F.count("doc_id"), F.percentile_approx("doc_id", shares, max(10_000, 20 * parts))).first()
+    bounds = np.array((found or [])[: parts - 1], np.int64)
+    if not every or there == every:
+        return parts, 0, bounds
+    return parts + (nulls := max(1, parts * (every - there) // every)), nulls, bounds
+
+
+def _parts(ids: pa.Array, hashes: np.ndarray, n: int, nulls: int, bounds: np.ndarray) -> np.ndarray:
+    """The range of each row; nulls, and an id that fills several ranges, are dealt over theirs in order of their texts' hashes."""
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    keys = ids.fill_null(0).to_numpy()
+    low = np.where(there, nulls + np.searchsorted(bounds, keys, "left"), 0)
+    high = np.where(there, nulls + np.searchsorted(bounds, keys, "right"), max(nulls - 1, 0))
+    share = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    return np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, digest: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ none.  So a text's ids are the ids of its white-space separated words, one after
 `WordEncoder` asks the tokenizers library for each distinct word and remembers the answer in a bounded
 table.  A word of plain letters, perhaps with plain punctuation behind it, needs neither normalizer nor
 splitting: lower-cased and spelt in the byte alphabet it goes to the library's BPE model at once.  Both
-give the library's own ids at several times its speed; tests compare them on whole texts.
+give the library's own ids at several times its speed; tests compare them on whole texts.  A vocabulary
+that gives white space ids of its own is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WORD_BPE = "word_bpe_49k.json"
 #: Letters that are one code point in any normal form, with one lower-case letter each; then punctuation.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
+#: Texts whose ids tell whether a vocabulary drops white space and keeps to words.
+SPACED = ("a b", " ab  cd\nef\t", "the cat\r\nsat. 12 34", "\n\n", "x\fy\vz")
 PROBES = ("abc", "Élan", "thé,", "straße", "x##$", "ÿ!", "a***", "ÞÆØ|", "Zeitung.", "e&&&")
 
 
@@ -33,6 +36,10 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def ids(library, text: str) -> list[int]:
+    return library.encode(text, add_special_tokens=False).ids
+
+
 class WordEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes; as a mapping, word to ids.
 
@@ -45,6 +52,9 @@ class WordEncoder(dict):
 
         super().__init__()
         library = Tokenizer.from_file(path)
+        self.size = library.get_vocab_size()
+        if any(ids(library, text) != [i for word in text.split() for i in ids(library, word)] for text in SPACED):
+            raise ValueError(f"{path} does not encode a text as the words between its white space")
         self._encode, self._model = library.encode, library.model.tokenize
         self._memory_words, self._memory_bytes, self._older = memory_words, memory_bytes, {}
         letters = (chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7)
