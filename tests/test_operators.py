@@ -122,6 +122,21 @@ def test_failover_stream_equals_batch(spark, tmp_path):
     assert set(got) == {t for t in told if t[1] <= start + 4_000_000} and len(got) == len(set(got)) > 6
 
 
+@pytest.mark.parametrize("scan", [segmenters.span_scan(3_600_000), segmenters.keyframe_scan(3_600_000), segmenters.dash_scan(3_600_000, 5), segmenters.bitrate_scan()], ids="span keyframe dash bitrate".split())
+def test_cuts_of_a_stream_are_those_of_a_batch(spark, tmp_path, scan):
+    from tidemark.streaming.scans import scan_stream
+
+    frame = views.logical(spark, DATA, "packets").where("stream_code IN ('stream_1', 'stream_2')").select("stream_code", "event_id", "ms", "pts_ms", "codec", "size", "key_frame", "discontinuity").cache()
+    middle = frame.selectExpr("percentile_approx(ms, 0.5)").first()[0]
+    for k, part in enumerate(("ms <= {0}", "ms > {0}")):  # a micro-batch each
+        frame.where(part.format(middle)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = []
+    stream = scan_stream(source, scan).writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint")
+    stream.foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got, key=str) == sorted(map(tuple, scan.over(frame).collect()), key=str) and len(got) == frame.count() > 50
+
+
 def test_playlists(spark):
     text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXTINF:4.0,\nseg_8.ts\n#EXT-X-DISCONTINUITY\n#EXTINF:3.5,\nseg_9.ts\n"
     lines = readers.lines_of(spark.createDataFrame([("p", text)], "playlist string, text string"))

@@ -171,6 +171,46 @@ def config_errors(streams: DataFrame, inputs: DataFrame, hooks: DataFrame, mount
     return reduce(DataFrame.unionByName, found)
 
 
+_LISTENER = "enabled:boolean,port:int"
+#: The global section of a configuration document.
+GLOBAL = (
+    "server struct<http_addr:string,cors:struct<allowed_origins:array<string>,allow_credentials:boolean>>, buffer struct<capacity:int>, hooks struct<worker_count:int>, log struct<level:string,format:string>, "
+    "publisher struct<hls:struct<dir:string,live_segment_sec:int>,dash:struct<dir:string,live_segment_sec:int>>, "
+    f"listeners struct<rtmp:struct<{_LISTENER}>,rtsp:struct<{_LISTENER}>,srt:struct<{_LISTENER},latency_ms:int>>"
+)
+
+
+def global_errors(texts: DataFrame) -> DataFrame:
+    """Add ``path`` and ``problem`` of the global section of documents (JSON text): a row each; sections that are not there have none."""
+    rows = texts.withColumn("_g", F.from_json(F.get_json_object("text", "$.global_config"), GLOBAL))
+
+    def at(path: str) -> Column:
+        return F.col(f"_g.{path}")
+
+    def number(path: str) -> Column:
+        return F.coalesce(at(path), F.lit(0))
+
+    address, level, form = (F.coalesce(at(p), F.lit("")) for p in ("server.http_addr", "log.level", "log.format"))
+    hls, dash = (F.coalesce(at(f"publisher.{k}.dir"), F.lit("")) for k in ("hls", "dash"))
+    rules = {
+        "server.http_addr": F.when(at("server").isNotNull(), F.when(F.trim(address) == "", "required").when(~address.rlike(r"^([^:\[\]]*|\[[^\[\]]*\]):[^:\[\]]*$"), "not host:port")),
+        "server.cors.allow_credentials": F.when(at("server.cors.allow_credentials") & F.array_contains(at("server.cors.allowed_origins"), "*"), "with any origin"),
+        "buffer.capacity": F.when(at("buffer").isNotNull() & (number("buffer.capacity") <= 0), "not above 0"),
+        "publisher.hls.live_segment_sec": F.when(at("publisher.hls.live_segment_sec") < 0, "below 0"),
+        "publisher.dash.live_segment_sec": F.when(at("publisher.dash.live_segment_sec") < 0, "below 0"),
+        "publisher.dash.dir": F.when((hls != "") & (hls == dash), "same as hls"),
+        "hooks.worker_count": F.when(at("hooks").isNotNull() & (number("hooks.worker_count") <= 0), "not above 0"),
+        "log.level": F.when(~F.lower(level).isin("", "debug", "info", "warn", "error"), "unknown"),
+        "log.format": F.when(~F.lower(form).isin("", "text", "json"), "unknown"),
+        "listeners.srt.latency_ms": F.when(at("listeners.srt.latency_ms") < 0, "below 0"),
+    }
+    for name in ("rtmp", "rtsp", "srt"):
+        port = number(f"listeners.{name}.port")
+        rules[f"listeners.{name}.port"] = F.when(at(f"listeners.{name}.enabled"), F.when(port == 0, "required").when(~port.between(1, 65535), "not a port"))
+    found = F.filter(F.array(*[F.struct(F.lit(f"global_config.{p}").alias("path"), c.alias("problem")) for p, c in rules.items()]), lambda r: r["problem"].isNotNull())
+    return rows.withColumn("_e", F.explode(found)).select(*texts.columns, "_e.path", "_e.problem")
+
+
 def best_inputs(inputs: DataFrame) -> DataFrame:
     """(code, id) of the input to play, of (code, id, priority, status, override): a healthy override, else the healthy one of least priority."""
     healthy = inputs.where(~F.col("status").isin("degraded", "stopped"))

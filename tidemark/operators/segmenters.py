@@ -2,7 +2,8 @@
 
 Where a cut begins decides where the next one may fall, so no window of fixed borders gives these.  Rows
 are dealt by key and sorted, and a task goes through them once with the state of one key at a time; a key
-of any number of rows takes no more memory than its last cut.
+of any number of rows takes no more memory than its last cut.  ``tidemark.streaming.scans`` runs the same steps
+on a stream, with the open cuts in its checkpoint.
 
 Defined cases: a row without a time (ms) has a null result and changes nothing; a null pts_ms, like 0, is no
 timestamp; equal times are ordered by event_id; empty tables give no rows; other columns are not read.
@@ -11,36 +12,56 @@ timestamp; equal times are ordered by event_id; empty tables give no rows; other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scan_by_key(rows: DataFrame, key: str, time: str, step: Callable, start: Callable, output: str) -> DataFrame:
-    """Add a column to ``rows``: ``step(state, row)`` of each row in order of ``time`` and event_id, with a fresh state for each key.
+@dataclass(frozen=True)
+class Scan:
+    """``step(state, row)`` gives the value of each row in order of ``time`` and event_id, with a fresh state for each key.
 
-    ``output`` is the column's name and type (long or double); rows are tuples in the columns' order.
+    ``columns`` are what rows hold, as expressions; ``output`` is the value's name and type (long or double). States are dicts of plain values,
+    so that a stream can keep them in its checkpoint.
     """
-    name, kind = output.split()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {output}"
-    at, clock = rows.columns.index(key), rows.columns.index(time)
-    arrow = {"long": pa.int64(), "double": pa.float64()}[kind]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), None
-        for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[at] != current:
-                    current, state = row[at], start()
-                found.append(None if row[clock] is None else step(state, row))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, name])
-
-    return rows.repartition(key).sortWithinPartitions(key, time, "event_id").mapInArrow(run, schema)
-
-
-def span_segments(packets: DataFrame, target_ms: int) -> DataFrame:
+    columns: tuple[str, ...]
+    key: str
+    step: Callable[[dict, tuple], float | None]
+    start: Callable[[], dict]
+    output: str
+    time: str = "ms"
+    unused: tuple[str, ...] = ()
+
+    def rows(self, frame: DataFrame) -> DataFrame:
+        return frame.selectExpr(*self.columns)
+
+    def schema(self, rows: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {self.output}"
+
+    def over(self, frame: DataFrame) -> DataFrame:
+        """The rows of ``frame`` with their values, in one pass over each key."""
+        rows, (name, kind), key = self.rows(frame), self.output.split(), self.key
+        at, clock = rows.columns.index(key), rows.columns.index(self.time)
+        arrow, step, start = {"long": pa.int64(), "double": pa.float64()}[kind], self.step, self.start
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, state = object(), None
+            for batch in batches:
+                found = []
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[at] != current:
+                        current, state = row[at], start()
+                    found.append(None if row[clock] is None else step(state, row))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, name])
+
+        dealt = rows.repartition(key).sortWithinPartitions(key, self.time, "event_id")
+        return dealt.mapInArrow(run, self.schema(rows)).drop(*self.unused)
+
+
+def span_scan(target_ms: int) -> Scan:
     """Segment numbers: once the timestamps span the target (the clock, without any), the packet that crosses ends the segment.
 
     The next segment's span begins at that packet's own timestamp.
@@ -56,11 +77,14 @@ def span_segments(packets: DataFrame, target_ms: int) -> DataFrame:
             state.update({"n": own + 1, "opened": ms, "from": pts or None})
         return own
 
-    rows = packets.select("stream_code", "event_id", "ms", "pts_ms")
-    return scan_by_key(rows, "stream_code", "ms", step, lambda: {"from": None, "opened": None, "n": 1}, "segment long")
+    return Scan(("stream_code", "event_id", "ms", "pts_ms"), "stream_code", step, lambda: {"from": None, "opened": None, "n": 1}, "segment long")
 
 
-def keyframe_segments(packets: DataFrame, target_ms: int) -> DataFrame:
+def span_segments(packets: DataFrame, target_ms: int) -> DataFrame:
+    return span_scan(target_ms).over(packets)
+
+
+def keyframe_scan(target_ms: int) -> Scan:
     """A cut at the first keyframe from the target on, at any packet from 1.5 times it, and at a discontinuity."""
 
     def step(state: dict, row: tuple) -> int:
@@ -70,11 +94,15 @@ def keyframe_segments(packets: DataFrame, target_ms: int) -> DataFrame:
             state["from"], state["n"] = ms, state["n"] + 1
         return state["n"]
 
-    rows = packets.select("stream_code", "event_id", "ms", "key_frame", "discontinuity")
-    return scan_by_key(rows, "stream_code", "ms", step, lambda: {"from": None, "n": 0}, "segment long").drop("key_frame", "discontinuity")
+    flags = ("key_frame", "discontinuity")
+    return Scan(("stream_code", "event_id", "ms", *flags), "stream_code", step, lambda: {"from": None, "n": 0}, "segment long", unused=flags)
 
 
-def bounded_sessions(hits: DataFrame, idle_ms: int, life_ms: int) -> DataFrame:
+def keyframe_segments(packets: DataFrame, target_ms: int) -> DataFrame:
+    return keyframe_scan(target_ms).over(packets)
+
+
+def session_scan(idle_ms: int, life_ms: int) -> Scan:
     """Session numbers: a session ends by idleness, or when its age passes the longest life."""
 
     def step(state: dict, row: tuple) -> int:
@@ -84,10 +112,14 @@ def bounded_sessions(hits: DataFrame, idle_ms: int, life_ms: int) -> DataFrame:
         state["last"] = ms
         return state["n"]
 
-    return scan_by_key(hits.select("user_id", "event_id", "ms"), "user_id", "ms", step, lambda: {"from": None, "last": None, "n": 0}, "session long")
+    return Scan(("user_id", "event_id", "ms"), "user_id", step, lambda: {"from": None, "last": None, "n": 0}, "session long")
 
 
-def smoothed_bitrate(packets: DataFrame, least_ms: int = 3000) -> DataFrame:
+def bounded_sessions(hits: DataFrame, idle_ms: int, life_ms: int) -> DataFrame:
+    return session_scan(idle_ms, life_ms).over(hits)
+
+
+def bitrate_scan(least_ms: int = 3000) -> Scan:
     """Kbps after each packet: bytes gathered for at least ``least_ms``, this packet's too, then half old and half new."""
 
     def step(state: dict, row: tuple) -> float:
@@ -101,11 +133,15 @@ def smoothed_bitrate(packets: DataFrame, least_ms: int = 3000) -> DataFrame:
             state["from"], state["bytes"] = ms, 0
         return float(int(state["kbps"] + 0.5))
 
-    rows = packets.selectExpr("stream_code || ' ' || codec AS track", "event_id", "ms", "size")
-    return scan_by_key(rows, "track", "ms", step, lambda: {"from": None, "bytes": 0, "kbps": 0.0}, "kbps double")
+    columns = ("stream_code || ' ' || codec AS track", "event_id", "ms", "size")
+    return Scan(columns, "track", step, lambda: {"from": None, "bytes": 0, "kbps": 0.0}, "kbps double")
 
 
-def dash_segments(packets: DataFrame, target_ms: int, audio_frames: int) -> DataFrame:
+def smoothed_bitrate(packets: DataFrame, least_ms: int = 3000) -> DataFrame:
+    return bitrate_scan(least_ms).over(packets)
+
+
+def dash_scan(target_ms: int, audio_frames: int) -> Scan:
     """Segment numbers; each packet is a tick after which a cut is due.
 
     It is due when the clock reaches the target, when the video that waits spans it (in the first segment only if it begins
@@ -129,9 +165,13 @@ def dash_segments(packets: DataFrame, target_ms: int, audio_frames: int) -> Data
             state.update({"n": own + 1, "opened": None, "first": None, "last": None, "frames": 0})
         return own
 
-    rows = packets.select("stream_code", "event_id", "ms", "codec", "key_frame", "pts_ms")
     start = lambda: {"n": 1, "opened": None, "first": None, "last": None, "key": False, "frames": 0, "seen": False}
-    return scan_by_key(rows, "stream_code", "ms", step, start, "segment long").drop("key_frame", "pts_ms")
+    columns, unused = ("stream_code", "event_id", "ms", "codec", "key_frame", "pts_ms"), ("key_frame", "pts_ms")
+    return Scan(columns, "stream_code", step, start, "segment long", unused=unused)
+
+
+def dash_segments(packets: DataFrame, target_ms: int, audio_frames: int) -> DataFrame:
+    return dash_scan(target_ms, audio_frames).over(packets)
 
 
 class Aligner:

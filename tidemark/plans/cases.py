@@ -139,6 +139,12 @@ CASES = {
     "case_document": Case("section string, text string", "keys string, first_problem string", (
         ("streams", '{"streams":{"b":{"code":"b","name":"B"},"a":{"code":"a-1","name":"A"}}}', "a,b", "bad characters"), ("streams", "{}", "", None), ("streams", "not json", "", None),
     ), lambda rows: _documents(rows)),
+    "case_global": Case("text string", "found string", (
+        ('{"global_config":{"server":{"http_addr":":8080","cors":{"allowed_origins":["*"],"allow_credentials":true}},"buffer":{"capacity":0},"log":{"level":"LOUD","format":"JSON"}}}', "global_config.buffer.capacity=not above 0,global_config.log.level=unknown,global_config.server.cors.allow_credentials=with any origin"),
+        ('{"global_config":{"server":{},"hooks":{},"publisher":{"hls":{"dir":"a","live_segment_sec":-1},"dash":{"dir":"a"}}}}', "global_config.hooks.worker_count=not above 0,global_config.publisher.dash.dir=same as hls,global_config.publisher.hls.live_segment_sec=below 0,global_config.server.http_addr=required"),
+        ('{"global_config":{"server":{"http_addr":"nowhere"},"listeners":{"rtmp":{"enabled":true},"rtsp":{"enabled":false,"port":99999},"srt":{"enabled":true,"port":70000,"latency_ms":-5}}}}', "global_config.listeners.rtmp.port=required,global_config.listeners.srt.latency_ms=below 0,global_config.listeners.srt.port=not a port,global_config.server.http_addr=not host:port"),
+        ('{"global_config":{"server":{"http_addr":"[::1]:80"}}}', ""), ("{}", ""), ("not json", ""), (None, ""),
+    ), lambda rows: _globals(rows)),
     "case_segment_cut": Case("event_id long, ms long, pts_ms long", "segment long", (
         (1, 0, 100, 1), (2, 10, 3100, 1), (3, 20, 4100, 1), (4, 30, 4200, 2), (5, 40, 8099, 2), (6, 50, 8100, 2), (7, 60, 8200, 3), (8, None, 9000, None), (9, 70, None, 3),
     ), lambda rows: _back(rows, segmenters.span_segments(rows.withColumn("stream_code", F.lit("a")), 4000), "segment")),
@@ -182,3 +188,8 @@ def _documents(rows: DataFrame) -> DataFrame:
     problem = F.when(COL("entry").isNotNull(), configs.code_problem(COL("entry.code")))
     held = entries.groupBy("case").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.min(F.when(problem != "ok", problem)).alias("first_problem"))
     return held
+
+
+def _globals(rows: DataFrame) -> DataFrame:
+    found = configs.global_errors(rows).groupBy("case").agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("="), "problem"))), ",").alias("found"))
+    return rows.join(found, "case", "left").withColumn("found", F.coalesce("found", F.lit("")))
