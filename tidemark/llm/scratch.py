@@ -36,12 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return path
 
 
 #: Paths by application, to be removed by `clean`.
-_made: dict[str, list[str]] = {}
+_made: dict[str, set[str]] = {}
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -63,12 +63,12 @@ def release(*staged: DataFrame) -> None:
     for df in staged:
         path = df._tidemark_path
         _remove(df.sparkSession, path)
-        _made[df.sparkSession.sparkContext.applicationId].remove(path)
+        _made.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
 
 
 def clean(spark: SparkSession) -> None:
     """Remove all that this application has left in the shared folder; results that read it must be done."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    for path in _made.pop(spark.sparkContext.applicationId, set()):
         _remove(spark, path)
 
 
