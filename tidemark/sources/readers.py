@@ -38,7 +38,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """(playlist, text) to (playlist, line_no, line)."""
-    return texts.select("playlist", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    return texts.select("playlist", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def recording_playlist(lines: DataFrame) -> DataFrame:
