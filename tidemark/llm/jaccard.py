@@ -16,9 +16,9 @@ A document's set holds its distinct shingles of ``ngram`` words, as 64-bit hashe
 5. *Expand and verify.*  In a pair that passes, the most common member of either group meets the members of
    the other one, and likewise inside a group; the parity bits of the members filter again, and
    what is left is verified on the whole sets.  Links give components.
-6. *The rest.*  Only cells whose members are not all in one component go on.  Their groups are parted by
-   length, as sets that link differ little in size, dealt by hash over blocks of about BLOCK groups, and
-   pairs that are not wholly in one component pass the filters of 4.  Only members of such pairs meet each other,
+6. *The rest.*  Only cells whose members are not all in one component go on.  In them, the groups outside the cell's main
+   component meet all others of about their length, as sets that link differ little in size, in blocks that are
+   dealt by hash; pairs that are not wholly in one component pass the filters of 4.  Only members of such pairs meet each other,
    in blocks again, and are verified.  So no link between components is lost, and no cell is ever
    spelt out as all its pairs.
 
@@ -51,8 +51,10 @@ NGRAM, PERCENT = 3, 90
 TABLE_BITS, MOST_TABLE_BITS = 24, 27
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 400_000
-#: Rows of one side of a block, on average; cells of more than four times as many are never held by one task.
-BLOCK = 256
+#: Rows at home in a block, on average, and how many times as many visitors it has.
+BLOCK, VISITORS = 256, 4
+#: Groups of a cell that one task orders at most; the middle of a larger cell is found by partial aggregates.
+ORDERED = 64
 #: Parity bits of a set, at least; those of a group are as many, in words of 64.
 BITS = 1024
 WORDS = BITS // 64
@@ -277,7 +279,8 @@ def _cells(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = rows.groupBy("token").agg(
         F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("gid")), F.bit_xor(F.xxhash64("gid", F.lit("again")))).alias("cell")
     )
-    cells = stage(rows.join(hashed, "token").select("cell", "gid").union(pairs).distinct(), "cells")
+    hashed = stage(hashed, "token-cells")
+    cells = stage(rows.join(small_side(hashed, BROADCAST_ROWS), "token").select("cell", "gid").union(pairs).distinct(), "cells")
     inside = stage(cells.select("gid").distinct(), "indexed")
     members = grouped.join(small_side(inside, BROADCAST_ROWS), "gid").select("gid", "members", "doc_id", "n", "common", "fold", "bits")
     members = stage(members, "members")
@@ -289,7 +292,7 @@ def _cells(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array(*map(F.bit_and, words)).alias("ones"), F.array(*map(F.bit_or, words)).alias("ors"),
     ).select("gid", "n", "members", "top.common", F.bitwise_not("top.inverse").alias("middle"), "ones", "ors")
     faced = stage(cells.join(one.union(many), "gid").select("cell", "gid", "n", "members", "common", "middle", "ones", "ors"), "faced")
-    release(rows, seen, inside, cells)
+    release(rows, seen, hashed, inside, cells)
     return faced, members
 
 
@@ -303,7 +306,7 @@ def _group_pairs(x: pa.RecordBatch, y: pa.RecordBatch, good: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([a, k, u, b, l, v, pa.array(sure)], names=["a_gid", "a_members", "a", "b_gid", "b_members", "b", "sure"]).filter(pa.array(good))
 
 
-def _stars(faced: DataFrame, percent: int, large: int) -> DataFrame:
+def _stars(faced: DataFrame, percent: int, large: int = ORDERED) -> DataFrame:
     """Pairs of each group and the most common group of its cell, as far as the filters let them.
 
     The middle of a cell of more than ``large`` groups is found by partial aggregates and joined to them
@@ -317,7 +320,7 @@ def _stars(faced: DataFrame, percent: int, large: int) -> DataFrame:
     top = F.max(F.struct("common", F.bitwise_not("gid").alias("inverse"), F.struct(*face).alias("x"))).alias("top")
     inside = faced.join(big, "cell")
     middles = inside.groupBy("cell").agg(top).select("cell", "top.x")
-    joined = inside.join(small_side(stage(middles, "middles"), BLOCK * 16), "cell")
+    joined = inside.join(small_side(stage(middles, "middles"), BROADCAST_ROWS), "cell")
     pairs = ordered.select("x", *face).unionByName(joined.select("x", *face)).where("gid != x.gid")
     pairs = pairs.select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in face], *face)
 
@@ -363,13 +366,18 @@ def _expanded(pairs: DataFrame, faced: DataFrame, members: DataFrame, percent: i
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """(i, j, first) for rows of (cell, home, key, ...): any two rows of a cell meet in one block (cell, i, j) at least, sorted by block."""
-    sizes = stage(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "block-sizes")
-    sized = rows.join(small_side(sizes, BROADCAST_ROWS), "cell", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("long"))
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).withColumn("first", F.col("chunk") == F.col("i"))
-    return dealt.drop("size", "chunks", "chunk", "other").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    """Rows (cell, home, key, ...) dealt over blocks (cell, i, j), sorted by block: every row at home meets every visitor of its cell once.
+
+    Rows at home are cut into parts of about ``block`` and visitors into parts of about VISITORS times as many; each row goes to
+    all blocks of its part, so a cell of few rows at home is hardly copied, however many visitors it has.
+    """
+    parts = [F.greatest(F.ceil(F.count_if(at) / size), F.lit(1)).cast("long").alias(name) for at, size, name in ((F.col("home"), block, "homes"), (~F.col("home"), VISITORS * block, "visits"))]
+    sizes = stage(rows.groupBy("cell").agg(*parts).where("homes > 1 OR visits > 1"), "block-sizes")
+    sized = rows.join(small_side(sizes, BROADCAST_ROWS), "cell", "left").withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("homes", "visits")})
+    own, others = F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits")), F.when(F.col("home"), F.col("visits")).otherwise(F.col("homes"))
+    dealt = sized.withColumns({"chunk": F.pmod(F.xxhash64("key"), own), "last": others - 1}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    dealt = dealt.withColumns({"i": F.when(F.col("home"), F.col("chunk")).otherwise(F.col("other")), "j": F.when(F.col("home"), F.col("other")).otherwise(F.col("chunk"))})
+    return dealt.drop("homes", "visits", "last", "chunk", "other").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -389,18 +397,21 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _meeting(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all two rows of a block one of which is at home, by size and where they are not in one component."""
-    n, low, high, home, first = (table[c].to_numpy() for c in ("n", "low", "high", "home", "first"))
-    one = table["i"][0].as_py() == table["j"][0].as_py()
-    x, y = (np.arange(len(n)),) * 2 if one else (np.nonzero(first)[0], np.nonzero(~first)[0])
+    """Places of a row at home and a visitor each, by size and where they are not in one component."""
+    n, low, high, home, key = (table[c].to_numpy() for c in ("n", "low", "high", "home", "key"))
+    x, y = np.nonzero(home)[0], np.nonzero(~home)[0]
     good = 100 * np.minimum.outer(n[x], n[y]) >= percent * np.maximum.outer(n[x], n[y])
-    good &= (home[x][:, None] | home[y]) & (np.minimum.outer(low[x], low[y]) < np.maximum.outer(high[x], high[y]))
-    if one:
-        good &= x[:, None] < y
+    good &= (key[x][:, None] != key[y]) & (np.minimum.outer(low[x], low[y]) < np.maximum.outer(high[x], high[y]))
     p, q = np.nonzero(good)
     return x[p], y[q]
 
 
+def _most(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, main): the label that most rows of a key have."""
+    counted = rows.groupBy(key, label).agg(F.count(F.lit(1)).alias("k"))
+    return counted.groupBy(key).agg(F.max_by(label, F.struct("k", label)).alias("main"))
+
+
 def _rest(faced: DataFrame, members: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (a, b) of members of one cell and two components that pass the filters."""
     labelled = members.join(small_side(labels, BROADCAST_ROWS), F.col("doc_id") == F.col("node"), "left")
@@ -410,12 +421,19 @@ def _rest(faced: DataFrame, members: DataFrame, labels: DataFrame, percent: int,
     # Two classes in a cell have met already.
     mixed = marked.groupBy("cell").agg(F.sum("members").alias("size"), F.min("low").alias("least"), F.max("high").alias("most"))
     mixed = stage(mixed.where("size > 2 and least < most").select("cell"), "mixed-cells")
-    # Sizes of sets that link are less than one step of this ladder apart: each group is at home on its own
-    # step and a visitor on the one below.
+    # Groups of a cell's main component need not meet each other: only the others are at home. Sizes of sets that
+    # link are less than one step of this ladder apart, so all groups visit their own step and the two beside it.
     step = F.floor(F.log(F.col("n")) / float(1.0001 * np.log(100 / percent))) if percent < 100 else F.col("n")
-    places = F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("home")), F.struct((step - 1).alias("step"), F.lit(False).alias("home")))).alias("place")
-    rows = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").select("*", places)
-    rows = rows.select(F.xxhash64("cell", "place.step").alias("cell"), "place.home", F.col("gid").alias("key"), "gid", "n", "members", "middle", "ones", "ors", "low", "high")
+    inside = marked.join(small_side(mixed, BROADCAST_ROWS), "cell").withColumn("step", step.cast("long"))
+    main = stage(_most(inside.where("low = high"), "cell", "low"), "main-components")
+    rows = inside.join(small_side(main, BROADCAST_ROWS), "cell", "left")
+    homes = rows.where("main IS NULL OR low != main OR high != main").withColumn("home", F.lit(True))
+    visits = rows.withColumns({"home": F.lit(False), "step": F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))})
+    columns = ("gid", "n", "members", "middle", "ones", "ors", "low", "high")
+    rows = homes.unionByName(visits).select(F.xxhash64("cell", "step").alias("cell"), "home", F.col("gid").alias("key"), *columns)
+    # Visitors of a step where nobody is at home stay out.
+    busy = stage(homes.select(F.xxhash64("cell", "step").alias("cell")).distinct(), "busy-steps")
+    rows = stage(rows.join(small_side(busy, BROADCAST_ROWS), "cell", "left_semi"), "to-meet")
 
     def meet_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_block(batches):
@@ -429,12 +447,18 @@ def _rest(faced: DataFrame, members: DataFrame, labels: DataFrame, percent: int,
     pairs = stage(_blocks(rows, block).mapInArrow(meet_groups, _GROUP_PAIRS).distinct(), "more-group-pairs")
     alone = pairs.where("a_members = 1 and b_members = 1")
     sure = alone.where("sure").select("a", "b").union(_close(alone.where("not sure").select("a", "b"), members, percent))
-    # The members of pairs of larger groups, and of groups that are not in one component, meet in blocks of their own.
-    both = pairs.where("a_members > 1 or b_members > 1").select(F.xxhash64("a_gid", "b_gid").alias("cell"), F.explode(F.array(
-        F.struct(F.col("a_gid").alias("gid"), F.lit(True).alias("home")), F.struct(F.col("b_gid").alias("gid"), F.lit(False).alias("home")))).alias("side"))
-    own = sides.where("low < high").select(F.xxhash64("gid", "gid").alias("cell"), F.struct("gid", F.lit(True).alias("home")).alias("side"))
-    sought = both.unionByName(own).select("cell", "side.home", "side.gid").distinct()
-    inner = sought.join(labelled, "gid").select("cell", "home", F.col("doc_id").alias("key"), "doc_id", "n", "fold", "bits", F.col("label").alias("low"), F.col("label").alias("high"))
+    # The members of pairs of larger groups meet in blocks of their own, the fewer ones at home; in a group that is not in
+    # one component, the members outside its main one are at home.
+    fewer = F.col("a_members") <= F.col("b_members")
+    both = pairs.where("a_members > 1 OR b_members > 1").select(F.xxhash64("a_gid", "b_gid").alias("cell"), F.explode(F.array(
+        F.struct(F.col("a_gid").alias("gid"), fewer.alias("home")), F.struct(F.col("b_gid").alias("gid"), (~fewer).alias("home")))).alias("side"))
+    columns = (F.col("doc_id").alias("key"), "doc_id", "n", "fold", "bits", F.col("label").alias("low"), F.col("label").alias("high"))
+    across = both.select("cell", "side.home", "side.gid").distinct().join(labelled, "gid").select("cell", "home", *columns)
+    torn = labelled.join(small_side(stage(sides.where("low < high").select("gid"), "torn-groups"), BROADCAST_ROWS), "gid")
+    torn = torn.join(small_side(stage(_most(torn, "gid", "label"), "main-labels"), BROADCAST_ROWS), "gid")
+    within = torn.withColumn("cell", F.xxhash64("gid", "gid"))
+    within = within.where("label != main").select("cell", F.lit(True).alias("home"), *columns).unionByName(within.select("cell", F.lit(False).alias("home"), *columns))
+    inner = across.unionByName(within)
 
     def meet_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_block(batches):
@@ -505,7 +529,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     first = members.join(small_side(again, BROADCAST_ROWS), ["c1", "c2"], "left")
     classes = first.where("least is null").unionByName(first.where("doc_id = least").dropDuplicates(["c1", "c2"]))
     faced, inside = _cells(classes.select("doc_id", "n", "common", "g1", "g2", "prefix", "fold", "bits"))
-    links = _verified(_expanded(_stars(faced, percent, 4 * block), faced, inside, percent), docs, ngram, percent)
+    links = _verified(_expanded(_stars(faced, percent), faced, inside, percent), docs, ngram, percent)
     labels = stage(components(links), "labels")
     more = _verified(_rest(faced, inside, labels, percent, block), docs, ngram, percent)
     if not more.isEmpty():
