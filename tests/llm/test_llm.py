@@ -605,6 +605,38 @@ def test_examples(spark):
     assert chat.summarize(examples.limit(0)).count() == 0
 
 
+def test_long_conversations_are_staged_in_small_pieces(spark, tmp_path):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{k} \\ </turn> " + "wörd " * 60) for c, n in ((1, 600), (2, 3), (None, 1), (3, 0)) for k in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    shared = pathlib.Path(scratch.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.glob("tidemark-*"))
+    got = {r.conv_id: r for r in queries.op10_prefix_targets(spark, str(tmp_path)).collect()}
+    staged = [p for folder in set(shared.glob("tidemark-*")) - before for p in folder.rglob("*.parquet")]
+    groups = [m.row_group(k).total_byte_size for p in staged for m in [pq.read_metadata(p)] for k in range(m.num_row_groups)]
+    longest = max(len(r.text.encode()) for r in chat.expand(turns).collect())
+    assert len(groups) > 5 and max(groups) <= 2 * chat.BATCH_CHARS + longest
+    expected = {r.conv_id: r for r in chat.summarize(chat.expand(turns)).collect()}
+    assert set(expected) == {1, 2, None} and got == expected | {-7: got[-7]} and got[1].n_examples == 300
+
+
+def test_examples_of_lost_attempts_are_not_read(spark):
+    import pathlib
+
+    turns = spark.createDataFrame(SAID, "conv_id long, turn long, role string, text string")
+    folder = scratch.new_path(spark, "test-chat")
+    manifest = chat.write_examples(turns, folder)
+    place = pathlib.Path(folder.removeprefix("file:"))
+    (place / "examples-000000-lost.parquet").write_bytes(next(place.glob("*.parquet")).read_bytes()[:100])
+    assert set(chat.read_summaries(spark, folder, manifest).collect()) == set(chat.summarize(chat.expand(turns)).collect())
+    folder = scratch.new_path(spark, "test-chat")
+    assert chat.read_summaries(spark, folder, chat.write_examples(turns.limit(0), folder)).count() == 0
+
+
 def test_pipeline(spark, docs):
     frame, before = docs, docs.count()
     for name, function in corpus_pipeline.STAGES[:-1]:

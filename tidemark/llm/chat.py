@@ -13,6 +13,11 @@ holds every turn.
 Rows are dealt by conversation, sorted by turn, and formatted in one pass that holds one transcript at a
 time.  The examples of a conversation of n assistant turns hold n prefixes; that is what the format asks.
 
+Written as files, examples go from a task's Python to Parquet and back a row group at a time, each of
+BATCH_CHARS and one transcript at most, so that no wide rows go through the JVM, whose reader and writer
+count rows, not bytes.  Every attempt of a task writes a file of its own name, and the manifest, which Spark
+commits, names the files that count.  A conversation lies in one file.
+
 Defined cases: conv_id holds whole numbers (other types are refused); a null text or role is empty; a null turn comes first; rows of one turn are ordered by role
 and text, and repeated rows are turns of their own; a null conv_id is a conversation of its own; an
 empty table gives no rows; other columns are not read.
@@ -21,17 +26,20 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import whole_numbers
+from .scratch import stage
 
 TURN, COLON, END = "### ", ": ", "</turn>"
 TARGET = "assistant"
 EXAMPLES = "conv_id long, example int, text string, loss_start long, loss_end long, final boolean"
+SUMMARIES = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 #: Characters of examples that are gathered before they are passed on.
 BATCH_CHARS = 4 << 20
 
@@ -118,16 +126,71 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(ready, names, kinds)
 
 
+def _dealt(turns: DataFrame) -> DataFrame:
+    whole_numbers(turns, "conv_id")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text")
+
+
 def expand(turns: DataFrame) -> DataFrame:
     """Examples of conversations given as rows (conv_id, turn, role, text).
 
     loss_start and loss_end bound the trainable characters of ``text`` (equal: none); ``final`` marks the
     example that holds the whole conversation.
     """
-    whole_numbers(turns, "conv_id")
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_examples, EXAMPLES)
+    return _dealt(turns).mapInArrow(_examples, EXAMPLES)
+
+
+def write_examples(turns: DataFrame, folder: str) -> DataFrame:
+    """Write the examples of `expand` as Parquet files under ``folder`` (a URI); return the staged manifest: part, path and n_examples."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(folder)
+        number, writer, n_examples = TaskContext.get().partitionId(), None, 0
+        name = f"{root}/examples-{number:06d}-{uuid.uuid4().hex}.parquet"
+        for examples in _examples(batches):
+            if writer is None:
+                writer = pq.ParquetWriter(name, examples.schema, filesystem=system, compression="zstd", use_dictionary=False, write_statistics=False)
+            writer.write_batch(examples)
+            n_examples += examples.num_rows
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([n_examples])], names=["part", "path", "n_examples"])
+
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    return stage(_dealt(turns).mapInArrow(write, "part int, path string, n_examples long"), "chat-manifest")
+
+
+def read_summaries(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """What `summarize` gives, from the files that the manifest names, a file a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_file(path) as source:
+                    yield from _summaries(_read_back(_row_groups(source)))
+
+    last = manifest.agg(F.max("part")).first()[0] or 0
+    return manifest.repartitionById(last + 1, "part").select("path").mapInArrow(read, SUMMARIES)
+
+
+def _row_groups(source) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
+
+    with pq.ParquetFile(source) as file:
+        for k in range(file.num_row_groups):
+            yield from file.read_row_group(k, use_threads=False).to_batches()
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +243,4 @@ def summarize(examples: DataFrame) -> DataFrame:
     read = examples.select("conv_id", "example", "text", "loss_start", "loss_end", "final")
     read = read.mapInArrow(_read_back, "conv_id long, example int, loss string, chars long, n_turns long, turns_sha256 string")
     dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return dealt.mapInArrow(
-        _summaries, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-    )
+    return dealt.mapInArrow(_summaries, SUMMARIES)

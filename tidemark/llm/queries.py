@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, hnsw, jaccard, langid, lengths, mixing, packing, planes, quality, warc
-from .scratch import new_path, short_batches, stage
+from .scratch import new_path, short_batches
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -132,7 +132,8 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     quoting = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.summarize(stage(chat.expand(turns.unionByName(quoting)), "chat"))
+    folder = new_path(spark, "chat")
+    return chat.read_summaries(spark, folder, chat.write_examples(turns.unionByName(quoting), folder))
 
 
 ORACLES["op10_prefix_targets"] = r"""
