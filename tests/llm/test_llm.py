@@ -94,6 +94,28 @@ def test_ranges_keep_the_order(rows, parts):
     assert (np.diff(found) >= 0).all() and all(0 <= f < parts + nulls for f in found) and all((f < nulls) == (r[0] is None) for f, r in zip(found, rows))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("aA é.,!&\t\n\x0b\x1c\x85\xa0\u2003漢3ß", max_size=20), max_size=5), st.sampled_from(["<u2", "<u4"]))
+def test_columns_give_the_librarys_ids(texts, width):
+    import pyarrow as pa
+
+    found = tokens.encoder(tokens.vocabulary()).column(pa.array([*texts, "x", ""], pa.string()).slice(0, len(texts)), width, encoded("", 2).tobytes())
+    assert found.to_pylist() == [encoded(text, 2).astype(width).tobytes() for text in texts]
+
+
+def test_forms_of_a_word_ask_the_model_once():
+    import pyarrow as pa
+
+    encoder, asked = tokens.WordEncoder(tokens.vocabulary()), []
+    model = encoder._model
+    encoder._model = lambda text: asked.append(text) or model(text)
+    forms = "wort Wort wort, WORT. wort,"
+    assert encoder.ids(forms.encode()) == encoded(forms).tobytes() and sorted(asked) == [",", ".", "wort"]
+    small = tokens.WordEncoder(tokens.vocabulary(), memory_words=2, memory_bytes=5)
+    texts = [forms, "ein Wort", None, "zwei Wörter, drei Wörter", forms]
+    assert [small.column(pa.array([t], pa.string()), "<u4").to_pylist()[0] for t in texts] == [encoded(t).tobytes() for t in texts]
+
+
 def test_forgetting_words_changes_nothing():
     small = tokens.WordEncoder(tokens.vocabulary(), memory_words=3, memory_bytes=6)
     text = "alpha beta gamma delta <|endoftext|> alpha extraordinarily beta"

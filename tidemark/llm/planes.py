@@ -41,13 +41,14 @@ from pyspark.sql import functions as F
 from . import tokens
 from .columns import whole_numbers
 from .scratch import stage
-from .words import raw_texts
 
 MAGIC = b"TIDEPLN1"
 HEAD, FOOT = struct.Struct("<8sII"), struct.Struct("<QQQQQ8s")
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 END_ID = 2
+#: Words that a worker remembers here; no other operator's tables lie beside them.
+MEMORY_WORDS = 300_000
 
 
 def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
@@ -170,11 +171,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     width = np.dtype("<u2" if max(tokens.encoder(path).size, end_id + 1) <= 1 << 16 else "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(path), end_id.to_bytes(4, "little")
+        encoder, end = tokens.encoder(path, memory_words=MEMORY_WORDS), end_id.to_bytes(4, "little")
         for batch in batches:
             part = _parts(batch.column(0), batch.column(2).to_numpy(), n, nulls, bounds)
-            ids = (np.frombuffer(encoder.ids(raw) + end, "<u4").astype(width).tobytes() for raw in raw_texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["part", "doc_id", "text_hash", "ids"])
+            ids = encoder.column(batch.column(1), width, end)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(2), ids], names=["part", "doc_id", "text_hash", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
