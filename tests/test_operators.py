@@ -172,6 +172,28 @@ def test_audio_goes_to_every_rendition(spark):
     assert len(renditions) == 200 and sorted((r.event_id, r.stream_code, r.slug) for r in rows) == sorted(want)
 
 
+def test_audio_of_one_source_is_dealt_over_tasks(spark):
+    size, n, m = signals.BLOCK, 5 * signals.BLOCK + 1, 2 * signals.BLOCK + 3
+    heard = [(k, "a", "aac") for k in range(n)] + [(7, "a", "aac"), (None, "a", "aac"), (1, "a", "h264"), (2, "b", "aac"), (3, None, "aac")]
+    rungs = [("x", f"track_{k}", "a") for k in range(m)] + [("x", "track_1", "a"), (None, None, "a"), ("y", "track_1", "c"), ("z", "track_1", None)]
+    packets = spark.createDataFrame(heard, "event_id long, stream_code string, codec string").coalesce(1)
+    renditions = spark.createDataFrame(rungs, "stream_code string, slug string, audio_code string").coalesce(1)
+    found = signals.audio_fanout(packets, renditions)
+    want = sorted(str((e, *r[:2])) for e, code, codec in heard for r in rungs if codec == "aac" and code == r[2] == "a")
+    assert sorted(str(tuple(r)) for r in found.collect()) == want and len(want) == (n + 2) * (m + 2) > 10 * size * size
+    held = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == len(want) and max(held) < len(want) / 2  # of four tasks
+
+
+def test_audio_of_a_stream_goes_to_every_rendition(spark, tmp_path):
+    packets, renditions = (views.logical(spark, DATA, name) for name in ("packets", "sourced_renditions"))
+    packets.select("event_id", "stream_code", "codec").write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = signals.audio_fanout(spark.readStream.schema("event_id long, stream_code string, codec string").parquet(f"{tmp_path}/in"), renditions)
+    stream.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint").foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == sorted(map(tuple, signals.audio_fanout(packets, renditions).collect())) and len(got) > 1000
+
+
 def test_full_hook_queue_drops_its_oldest(spark):
     pairs = spark.range(12_000).selectExpr("id * 3 AS id", "CASE WHEN id % 5 = 0 THEN 'few' ELSE 'many' END AS hook_id")
     for cap in (10_000, 7, 100, 1):
